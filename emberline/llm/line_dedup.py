@@ -41,10 +41,15 @@ def lines_of(documents: DataFrame, id_column: str, text_column: str, min_chars:
     return rows.where(F.length(F.trim("line")) >= min_chars)
 
 
+def _shingles(lines: DataFrame) -> DataFrame:
+    """(id, h): the hash of each shingle of lines (id, line)."""
+    words = lines.select("id", _words().alias("words")).select("id", "words", F.posexplode("words").alias("at", "word"))
+    return words.where("word <> ''").select("id", F.expr(f"xxhash64({_SHINGLE})").alias("h"))
+
+
 def links(lines: DataFrame, threshold: float = 0.8, near: int = 8) -> DataFrame:
     """(a, b) for lines (id, line) with different ids: pairs whose exact Jaccard similarity reaches the threshold."""
-    shingles = lines.select("id", _words().alias("words")).select("id", "words", F.posexplode("words").alias("at", "word"))
-    shingles = shingles.where("word <> ''").select("id", F.expr(f"xxhash64({_SHINGLE})").alias("h"))
+    shingles = _shingles(lines)
     mins = [F.expr(f"min(xxhash64(h, {k}))").alias(f"m{k}") for k in range(BANDS * ROWS)]
     signed = shingles.groupBy("id").agg(*mins)
     band = [F.struct(F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias("key"), F.col(f"m{(b * ROWS + ROWS) % (BANDS * ROWS)}").alias("place")) for b in range(BANDS)]
@@ -55,16 +60,11 @@ def links(lines: DataFrame, threshold: float = 0.8, near: int = 8) -> DataFrame:
     pairs = banded.select("id", others.alias("others")).select("id", F.explode("others").alias("other")).where("other <> id")
     pairs = stored(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(lines.join(wanted, "id", "left_semi"), "texts")
-    both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
-
-    made = both.withColumn("w1", _words("left")).withColumn("w2", _words("right"))
-    for w, s in (("w1", "s1"), ("w2", "s2")):
-        text = f"substring(concat_ws(' ', x, get({w}, at + 1), get({w}, at + 2), get({w}, at + 3)), 1, {SHINGLE})"
-        made = made.withColumn(s, F.expr(f"array_distinct(transform({w}, (x, at) -> if(x = '', cast(null as bigint), xxhash64({text}))))"))
-        made = made.withColumn(s, F.array_compact(s))
-    made = made.select("a", "b", F.size("s1").alias("n1"), F.size("s2").alias("n2"), F.size(F.array_intersect("s1", "s2")).alias("n"))
-    return made.where(f"n >= {float(threshold)} * (n1 + n2 - n)").select("a", "b")
+    # one row per candidate line, whose set is as large as the line has words
+    sets = stored(_shingles(lines.join(wanted, "id", "left_semi")).groupBy("id").agg(F.collect_set("h").alias("h")), "sets")
+    both = pairs.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b")
+    made = both.select("a", "b", F.size("s1").alias("n1"), F.size("s2").alias("n2"), F.size(F.array_intersect("s1", "s2")).alias("n"))
+    return made.where(f"n >= {float(threshold)}D * (n1 + n2 - n)").select("a", "b")
 
 
 def dropped(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, min_chars: int = 20, near: int = 8) -> DataFrame:
