@@ -60,7 +60,7 @@ def cells(pixels: DataFrame, cell: int = CELL, thresholds: dict | None = None) -
     skip = F.col("cld") > most
     good = ~skip & (F.col("cld") + F.col("ndc") <= most) & (F.col("nbg") >= LEAST_BACKGROUND)
     med = F.when(good, reflectance(F.col("med_dn")))
-    return out.select(*key, "cnt", "cld", "nd", "ndc", skip.alias("skip"), "nbg", med.alias("median"), F.coalesce(F.greatest(med, F.lit(t["background_floor"])) * t["contrast_ratio"], F.lit(float("inf"))).alias("threshold"))
+    return out.select(*key, "cnt", "cld", "nd", "ndc", skip.alias("skip"), "nbg", med.alias("median"), F.when(med.isNotNull(), F.greatest(med, F.lit(t["background_floor"])) * t["contrast_ratio"]).otherwise(float("inf")).alias("threshold"))
 
 
 def clear_share(cell_rows: DataFrame) -> DataFrame:
