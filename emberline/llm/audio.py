@@ -23,7 +23,7 @@ from .common import F, quoted, whole_text
 
 UNIT = 576
 RATE, UP, DOWN = 16_000, 3, 4  # resampled to 12 kHz
-TAPS = 12  # of each polyphase branch
+TAPS = 16  # of each polyphase branch
 FRAME, HOP, FFT, MELS = 300, 120, 512, 40  # 25 ms, 10 ms
 PATCH = 48  # frames of a tensor
 STRETCH = 1 << 19  # samples at a time, so that memory does not grow with an audio's length
@@ -116,7 +116,12 @@ def features(stored: bytes) -> dict:
     """Patches (each PATCH x MELS, the last padded with zeros, with its time span), segments and counts of a stored audio."""
     raw, rate = from_wav(stored)
     samples = np.frombuffer(raw, np.uint8)
-    sound = np.concatenate([resample((samples[k : k + STRETCH].astype(np.float32) - 128) / 128) for k in range(0, len(samples), STRETCH)] or [np.zeros(0, np.float32)])
+    parts = [np.zeros(0, np.float32)]
+    for k in range(0, len(samples), STRETCH):
+        lead = min(k, DOWN * TAPS)  # a stretch is resampled with its surroundings, and so like the whole
+        part = resample((samples[k - lead : k + STRETCH + DOWN * TAPS].astype(np.float32) - 128) / 128)
+        parts.append(part[lead * UP // DOWN :][: -(-min(STRETCH, len(samples) - k) * UP // DOWN)])
+    sound = np.concatenate(parts)
     mel, level = log_mel(sound)
     n = len(mel)
     padded = np.zeros((-(-n // PATCH) * PATCH, MELS), np.float32)

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import base64
 import functools
+import unicodedata
 
 import numpy as np
 import regex
 import tiktoken
+from tokenizers import Tokenizer
 
 from . import vectext
 
@@ -33,6 +35,17 @@ def classes() -> np.ndarray:
     return out
 
 
+@functools.cache
+def doubtful() -> np.ndarray:
+    """Code points that two Unicode versions class differently: texts with one go to the tokenizers library itself."""
+    table = classes()
+    other = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        other[c] = LETTER if kind == "L" else DIGIT if kind == "N" else 0
+    return np.where(table == BLANK, 0, table) != other
+
+
 @functools.cache
 def _point_values() -> np.ndarray:
     return np.random.default_rng(7).integers(1, 1 << 63, 0x110000, dtype=np.uint64) | np.uint64(1)
@@ -73,13 +86,13 @@ def piece_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts under a byte-level BPE vocabulary given as ranks (a .tiktoken file) with its cutting pattern."""
+    """Ids of texts under a byte-level BPE vocabulary, given as ranks (a .tiktoken file) with its cutting pattern and as the tokenizers library's file."""
 
-    def __init__(self, ranks_path: str, pattern: str, special_id: int = 50256):
+    def __init__(self, ranks_path: str, pattern: str, tokenizer_path: str):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special_id = special_id
+        self.exact = Tokenizer.from_file(tokenizer_path)
         self._clear()
 
     def _clear(self) -> None:
@@ -138,24 +151,16 @@ class Encoder:
         return self.encode_flat(raw, np.array([0, len(raw)]))[0]
 
     def encode_texts(self, data: np.ndarray, offsets: np.ndarray, tail: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """encode_flat(), with the vocabulary's end-of-text string as its special id."""
+        """encode_flat(), but for the texts that hold the vocabulary's end-of-text string or doubtful code points, which the tokenizers library encodes."""
+        raw = data.tobytes()
         special = SPECIAL.encode()
-        if special not in (raw := data.tobytes()):
+        points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        if special not in raw and not doubtful()[points].any():
             return self.encode_flat(data, offsets, tail)
-        parts, marks, owner = [], [], []
-        for k in range(len(offsets) - 1):
-            pieces = raw[offsets[k] : offsets[k + 1]].split(special)
-            for i, piece in enumerate(pieces):
-                parts.append(piece)
-                owner.append(k)
-                marks.append(i + 1 < len(pieces))
-        flat = np.frombuffer(b"".join(parts), np.uint8)
-        ids, begins = self.encode_flat(flat, np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
-        last = np.append(np.diff(owner) != 0, True)
-        out, sizes = [], np.zeros(len(offsets) - 1, np.int64)
-        for i, (mark, k) in enumerate(zip(marks, owner, strict=True)):
-            chunk = ids[begins[i] : begins[i + 1]]
-            extra = [np.array([self.special_id], np.int32)] if mark else [np.zeros(tail, np.int32)] if last[i] else []
-            out += [chunk, *extra]
-            sizes[k] += len(chunk) + sum(map(len, extra))
-        return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
+        texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        odd = np.array([special in t or bool(doubtful()[np.frombuffer(t.decode().encode("utf-32-le"), np.uint32)].any()) for t in texts])
+        plain = [b"" if o else t for o, t in zip(odd, texts, strict=True)]
+        ids, begins = self.encode_flat(np.frombuffer(b"".join(plain), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in plain])]))
+        end = np.zeros(tail, np.int32)
+        out = [np.concatenate([np.array(self.exact.encode(t.decode(), add_special_tokens=False).ids, np.int32) if o else ids[begins[k] : begins[k + 1]], end]) for k, (o, t) in enumerate(zip(odd, texts, strict=True))]
+        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import vectext
+from .bpe import Encoder
 from .common import F, fresh_name, quoted, whole_text
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -135,16 +136,15 @@ class Packer:
 
 
 @functools.cache
-def _encoder(ranks_path: str, pattern: str):
-    from .bpe import Encoder
-
-    return Encoder(ranks_path, pattern)
+def _encoder(ranks_path: str, pattern: str, tokenizer_path: str) -> Encoder:
+    return Encoder(ranks_path, pattern, tokenizer_path)
 
 
 def pack(
     documents: DataFrame,
     ranks_path: str,
     pattern: str,
+    tokenizer_path: str,
     id_column: str = "doc_id",
     text_column: str = "text",
     width: int = 1024,
@@ -170,7 +170,7 @@ def pack(
     arrow = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(frames):
-        encoder = _encoder(ranks_path, pattern)
+        encoder = _encoder(ranks_path, pattern, tokenizer_path)
         packer = Packer(width, TaskContext.get().partitionId() * STRIDE, most_open)
 
         def rows():

@@ -9,9 +9,10 @@ from . import ann, audio, chat, line_dedup, mixing, packing, quality, secret_sca
 from .common import F, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 #: The tree of the mixture: domains are groups of sources by their number.
-DOMAIN = F.when(F.col("source").rlike("^src[0-9]$"), "web").when(F.col("source").rlike("^src1[0-4]$"), "books").otherwise("other")
+DOMAIN = "case when source rlike '^src[0-9]$' then 'web' when source rlike '^src1[0-4]$' then 'books' else 'other' end"
 WEIGHTS = [{"web": 5, "books": 3, "other": 2}, {"en": 6, "de": 2, "fr": 2, "es": 2}, {"src0": 2}]
 
 
@@ -38,7 +39,7 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(documents: DataFrame) -> DataFrame:
-    return packing.pack(documents, RANKS, PATTERN)
+    return packing.pack(documents, RANKS, PATTERN, TOKENIZER)
 
 
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(documents: DataFrame, share: float, epochs: int) -> DataFrame:
-    return mixing.mix(documents.withColumn("domain", DOMAIN), ["domain", "lang", "source"], WEIGHTS, share, epochs=epochs)
+    return mixing.mix(documents.withColumn("domain", F.expr(DOMAIN)), ["domain", "lang", "source"], WEIGHTS, share, epochs=epochs)
 
 
 def op6_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

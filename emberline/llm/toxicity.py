@@ -110,12 +110,12 @@ class Net:
         return np.round(1 / (1 + np.exp(-z)), 6)
 
 
-def train(texts: pa.Array, y: np.ndarray, langs: list | None = None, prior: float | None = None, buckets: int = 1 << 15, dim: int = 8, filters: int = 8, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Net:
-    """Fit the net to texts with labels. With fewer than two labels the score is the same for all texts."""
+def train(texts: pa.Array, y: np.ndarray, langs: list | None = None, prior: float | None = None, buckets: int = 1 << 15, dim: int = 8, filters: int = 8, epochs: int = 12, least_steps: int = 800, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Net:
+    """Fit the net to texts with labels, in `epochs` rounds or more, so that there are `least_steps` steps. With fewer than two labels the score is the same for all texts."""
     rng = np.random.default_rng(seed)
     f32 = np.float32
     net = Net(
-        rng.normal(0, 0.3, (buckets * (1 + len(PREFIXES)), dim)).astype(f32),
+        rng.normal(0, 0.03, (buckets * (1 + len(PREFIXES)), dim)).astype(f32),
         [[rng.normal(0, 0.5 / w, (dim, filters)).astype(f32) for _ in range(w)] for w in WIDTHS],
         [np.zeros(filters, f32) for _ in WIDTHS], np.abs(rng.normal(0, 0.1, len(WIDTHS) * filters)).astype(f32) * np.tile([1, -1], len(WIDTHS) * filters // 2).astype(f32), np.zeros(1, f32), buckets,
     )
@@ -132,7 +132,7 @@ def train(texts: pa.Array, y: np.ndarray, langs: list | None = None, prior: floa
     first, second = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
     squares = np.full((len(net.embed), 1), 1e-3, f32)  # of the sparse rows' gradients
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // len(fit)))):
         for chosen in np.array_split(rng.permutation(fit), max(1, len(fit) // batch)):
             sizes = begins[chosen + 1] - begins[chosen]
             own = np.concatenate([[0], np.cumsum(sizes)])
