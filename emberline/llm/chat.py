@@ -14,7 +14,7 @@ more for each that is there already, which unescape() takes away again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
 from .common import F, quoted, whole_text
 
@@ -64,32 +64,37 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 128, con
     shown = F.concat(F.lit(BEGIN), _escaped_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END))
     head = F.length(_escaped_role(F.col("role"))) + len(BEGIN) + 1
     rows = rows.select("conv", "turn", "role", "text", shown.alias("shown"), count.cast("long").alias("n"), head.cast("long").alias("head"))
-    talk = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "shown", "n", "head"))).alias("t"))
-    talk = talk.withColumn("n", F.expr("transform(t, x -> x.n)")).withColumn("kept", F.expr("if(t[0].role = 'system', 1, 0)"))
-    talk = talk.withColumn("sum", F.expr("aggregate(n, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))"))
-    talk = talk.withColumn("room", F.expr(f"{int(budget)}L - if(kept = 1, n[0], 0L)"))
+    # prefix sums: s before a turn, and how much of the turns right before it the history holds
+    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    rows = rows.withColumns({"s": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "place": F.row_number().over(order)})
+    back = Window.partitionBy("conv").orderBy("s").rangeBetween(-int(history), 0)
+    plain = F.when((F.col("place") > 1) | (F.col("role") != "system"), F.col("s"))
+    rows = rows.withColumn("old", F.col("s") - F.coalesce(F.min(plain).over(back), F.col("s")))
+    talk = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text", "shown", "n", "head", "s", "old"))).alias("t"))
+    talk = talk.withColumn("kept", F.expr("if(t[0].role = 'system', 1, 0)"))
+    talk = talk.withColumn("room", F.expr(f"{int(budget)}L - if(kept = 1, t[0].n, 0L)"))
     # where new turns begin: the first after the system turn, then each at which the budget is used up, history included
-    talk = talk.withColumn("old", F.expr(f"transform(sequence(0, size(n)), at -> if(at <= kept, 0L, coalesce(array_max(transform(filter(sequence(kept, at), i -> sum[at] - sum[i] <= {int(history)}L), i -> sum[at] - sum[i])), 0L)))"))
     step = """
         aggregate(
-            sequence(kept, greatest(kept, size(n) - 1)),
-            named_struct('starts', array(kept), 'from', sum[kept], 'held', 0L),
-            (a, i) -> if(i > element_at(a.starts, -1) and sum[i + 1] - a.from + a.held > room,
-                named_struct('starts', array_append(a.starts, i), 'from', sum[i], 'held', if(old[i] + n[i] <= room, old[i], 0L)),
+            sequence(kept, greatest(kept, size(t) - 1)),
+            named_struct('starts', array(kept), 'from', if(kept = 1, t[0].n, 0L), 'held', 0L),
+            (a, i) -> if(i > element_at(a.starts, -1) and get(t, i).s + get(t, i).n - a.from + a.held > room,
+                named_struct('starts', array_append(a.starts, i), 'from', get(t, i).s, 'held', if(get(t, i).old + get(t, i).n <= room, get(t, i).old, 0L)),
                 a),
             a -> a.starts)"""
-    talk = talk.withColumn("starts", F.expr(f"if(size(n) > kept, {step}, array(kept))"))
-    cut = talk.select("conv", "t", "n", "sum", "old", "kept", "room", F.expr("posexplode(starts)").alias("window", "first"), "starts")
-    cut = cut.withColumn("stop", F.expr("coalesce(get(starts, window + 1), size(n))"))
-    cut = cut.withColumn("held", F.expr("if(window > 0 and old[first] + n[first] <= room, old[first], 0L)"))
-    cut = cut.withColumn("begin", F.expr("first - size(filter(sequence(0, first), i -> i < first and i >= kept and sum[first] - sum[i] <= held and held > 0))"))
+    # outer, though never empty: else the optimizer repeats all that is above in a filter of its own
+    cut = talk.withColumn("starts", F.expr(f"if(size(t) > kept, {step}, array(kept))"))
+    cut = cut.select("conv", "t", "kept", "room", "starts", F.posexplode_outer("starts").alias("window", "first"))
+    cut = cut.withColumn("stop", F.expr("coalesce(get(starts, window + 1), size(t))"))
+    cut = cut.withColumn("held", F.expr("if(window > 0 and get(t, first).old + get(t, first).n <= room, get(t, first).old, 0L)"))
+    cut = cut.withColumn("begin", F.expr("if(held = 0, first, first - size(filter(sequence(kept, first), i -> i < first and get(t, first).s - get(t, i).s <= held)))"))
     cut = cut.withColumn("repeated", F.expr("if(window > 0, kept + first - begin, 0)"))
     cut = cut.withColumn("turns", F.expr("concat(if(kept = 1, slice(t, 1, 1), slice(t, 1, 0)), slice(t, begin + 1, stop - begin))"))
-    cut = cut.withColumn("ends", F.expr("aggregate(turns, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + length(x.shown))))"))
+    cut = cut.withColumn("ends", F.expr("aggregate(turns, array(0L), (a, x) -> array_append(a, element_at(a, -1) + length(x.shown)))"))
     loss = f"""
         transform(
-            filter(sequence(0, size(turns)), i -> i < size(turns) and i >= repeated and turns[i].role = 'assistant'),
-            i -> named_struct('start', ends[i] + turns[i].head, 'end', ends[i + 1] - {len(END)}))"""
+            filter(sequence(0, size(turns)), i -> i < size(turns) and i >= repeated and get(turns, i).role = 'assistant'),
+            i -> named_struct('start', ends[i] + get(turns, i).head, 'end', ends[i + 1] - {len(END)}))"""
     return cut.select(
         "conv", F.col("window").cast("long").alias("window"), F.expr("array_join(transform(turns, x -> x.shown), '')").alias("text"), F.expr(loss).alias("loss"),
         F.col("repeated").cast("long").alias("repeated"), F.expr("aggregate(turns, 0L, (a, x) -> a + x.n)").alias("tokens"),
