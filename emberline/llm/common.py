@@ -34,6 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like stored(), in as many buckets by a key as there are shuffle partitions: what groups or joins by the key needs no shuffle."""
+    spark = df.sparkSession
+    path, table_name = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # after an aggregation by the key, rows already lie by its hash, a file for each bucket
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def fresh_name(columns: list[str], stem: str) -> str:
     """A column name that none of the columns has, letter case aside."""
     taken = {c.lower() for c in columns}

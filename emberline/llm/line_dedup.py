@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, in SQL functions only.
 
-A line's shingles are the 12 characters from the start of each of its words.
-Their minima under several hash functions form its signature; lines that agree in
+A line's shingles are the characters from the start of each of its words to the
+sixth of the next word. Their minima under several hash functions form its signature; lines that agree in
 one of the bands of the signature are candidates, and pairs with an exact
 Jaccard similarity of the shingle sets of at least the threshold are links.
 Distributed union-find joins them to components, of which the first line, by
@@ -18,10 +18,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 
-from .common import F, fresh_name, quoted, stored, whole_text
+from .common import F, bucketed, fresh_name, quoted, stored, whole_text
 from .components import connected
 
-SHINGLE = 12
+AHEAD = 6  # characters of the next word
 BANDS, ROWS = 7, 3
 
 
@@ -32,27 +32,35 @@ def _words(line: str = "line"):
     return F.split(F.lower(plain), " ")
 
 
-_SHINGLE = f"substring(concat_ws(' ', word, get(words, at + 1), get(words, at + 2), get(words, at + 3)), 1, {SHINGLE})"
+def _masks(n: int) -> list[int]:
+    """Signed 64-bit masks; the least hash under an exclusive or is the minimum in another order of all hashes. Their first bits are spread evenly, so that they choose apart."""
+    x, out = 0x2545F4914F6CDD1D, []
+    for k in range(n):
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        mask = ((k * (1 << 64) // n) & (((1 << 8) - 1) << 56)) ^ (x >> 8)
+        out.append(mask - (1 << 64) if mask >> 63 else mask)
+    return out
 
 
 def lines_of(documents: DataFrame, id_column: str, text_column: str, min_chars: int) -> DataFrame:
     """(doc, pos, line) of the lines that take part: those of at least min_chars characters without the blanks around them."""
-    rows = documents.select(F.col(quoted(id_column)).alias("doc"), F.posexplode(F.split(whole_text(text_column), "\n")).alias("pos", "line"))
+    rows = documents.select(F.col(quoted(id_column)).alias("doc"), F.posexplode_outer(F.split(whole_text(text_column), "\n")).alias("pos", "line"))
     return rows.where(F.length(F.trim("line")) >= min_chars)
 
 
 def _shingles(lines: DataFrame) -> DataFrame:
     """(id, h): the hash of each shingle of lines (id, line)."""
-    words = lines.select("id", _words().alias("words")).select("id", "words", F.posexplode("words").alias("at", "word"))
-    return words.where("word <> ''").select("id", F.expr(f"xxhash64({_SHINGLE})").alias("h"))
+    # outer, though never empty: else the optimizer makes the words once more in a filter of its own
+    words = lines.select("id", _words().alias("words")).select("id", "words", F.posexplode_outer("words").alias("at", "word"))
+    return words.where("word <> ''").select("id", F.expr(f"xxhash64(word, substring(get(words, at + 1), 1, {AHEAD}))").alias("h"))
 
 
 def links(lines: DataFrame, threshold: float = 0.8, near: int = 8) -> DataFrame:
     """(a, b) for lines (id, line) with different ids: pairs whose exact Jaccard similarity reaches the threshold."""
     shingles = _shingles(lines)
-    mins = [F.expr(f"min(xxhash64(h, {k}))").alias(f"m{k}") for k in range(BANDS * ROWS)]
+    mins = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks(BANDS * ROWS))]
     signed = shingles.groupBy("id").agg(*mins)
-    band = [F.struct(F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias("key"), F.col(f"m{(b * ROWS + ROWS) % (BANDS * ROWS)}").alias("place")) for b in range(BANDS)]
+    band = [F.struct(F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias("key"), F.hash(f"m{(b * ROWS + ROWS) % (BANDS * ROWS)}").alias("place")) for b in range(BANDS)]
     banded = signed.select("id", F.inline(F.array(*band)))
     bucket = Window.partitionBy("key").orderBy("place", "id")
     first = F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -72,7 +80,8 @@ def dropped(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = lines_of(documents, id_column, text_column, min_chars)
     key = F.xxhash64("line")
     places = rows.select(key.alias("id"), "doc", "pos")
-    distinct = rows.select(key.alias("id"), "line").groupBy("id").agg(F.min("line").alias("line"))
+    # in buckets by id, so that neither the signatures nor the candidates' texts are shuffled again
+    distinct = bucketed(rows.select(key.alias("id"), "line").groupBy("id").agg(F.min("line").alias("line")), "lines", "id")
     roots = connected(links(distinct, threshold, near))
     class_of = places.join(roots, places.id == roots.node, "left").select("doc", "pos", "id", F.coalesce("component", "id").alias("class"))
     firsts = class_of.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc").isNull().alias("no_doc"), "doc", "pos", "id")).alias("first")).where("n > 1")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, audio, chat, line_dedup, mixing, packing, quality, secret_scan, simhash, toxicity
 from .common import F, table
+from .oracles import SQL
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
