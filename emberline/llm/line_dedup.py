@@ -18,8 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 
-from .common import F, bucketed, fresh_name, quoted, stored, whole_text
-from .components import connected
+from emberline.operators.components import connected
+
+from .common import F, bucketed, fresh_name, quoted, release, stored, whole_text
 
 AHEAD = 6  # characters of the next word
 BANDS, ROWS = 7, 3
@@ -67,6 +68,7 @@ def links(lines: DataFrame, threshold: float = 0.8, near: int = 8) -> DataFrame:
     others = F.array(first, *[F.lag("id", k).over(bucket) for k in range(1, near + 1)])
     pairs = banded.select("id", others.alias("others")).select("id", F.explode("others").alias("other")).where("other <> id")
     pairs = stored(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
+    release(lines.sparkSession)
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     # one row per candidate line, whose set is as large as the line has words
     sets = stored(_shingles(lines.join(wanted, "id", "left_semi")).groupBy("id").agg(F.collect_set("h").alias("h")), "sets")
@@ -81,8 +83,13 @@ def dropped(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     key = F.xxhash64("line")
     places = rows.select(key.alias("id"), "doc", "pos")
     # in buckets by id, so that neither the signatures nor the candidates' texts are shuffled again
-    distinct = bucketed(rows.select(key.alias("id"), "line").groupBy("id").agg(F.min("line").alias("line")), "lines", "id")
-    roots = connected(links(distinct, threshold, near))
+    distinct, forget = bucketed(rows.select(key.alias("id"), "line").groupBy("id").agg(F.min("line").alias("line")), "lines", "id")
+    release(documents.sparkSession)
+    edges = links(distinct, threshold, near)
+    del distinct
+    forget()
+    release(documents.sparkSession)
+    roots = connected(edges)
     class_of = places.join(roots, places.id == roots.node, "left").select("doc", "pos", "id", F.coalesce("component", "id").alias("class"))
     firsts = class_of.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc").isNull().alias("no_doc"), "doc", "pos", "id")).alias("first")).where("n > 1")
     same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos")) & (F.col("id") == F.col("first.id"))

@@ -173,9 +173,13 @@ def train(texts: pa.Array, y: np.ndarray, rounds: int = 80, penalty: float = 1e-
     if len(set(y.tolist())) < 2:
         z = 20.0 * (float(y[0]) if len(y) else 0.5) - 10.0
         return Chain(np.zeros((3 * OWN + 3, 2)), np.zeros((2, 2)), np.zeros(OWN), np.ones(OWN), 0.0, z)
-    data, offsets = vectext.flat(texts)
-    starts, ends, owner = lines(data, offsets)
-    own = line_features(data, starts, ends)
+    owns, owners, seen_texts = [], [], 0
+    for data, offsets in vectext.pieces(texts):
+        starts, ends, owner = lines(data, offsets)
+        owns.append(line_features(data, starts, ends))
+        owners.append(owner + seen_texts)
+        seen_texts += len(offsets) - 1
+    own, owner = np.concatenate(owns), np.concatenate(owners)
     fit = np.arange(len(y)) % 4 != 3
     if len(set(y[fit].tolist())) < 2 or len(set(y[~fit].tolist())) < 2:
         fit[:] = True
@@ -201,7 +205,7 @@ def train(texts: pa.Array, y: np.ndarray, rounds: int = 80, penalty: float = 1e-
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
             w -= rate * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-8)
-    mean = chain.averages(data, offsets)
+    mean = np.concatenate([chain.averages(*part) for part in vectext.pieces(texts)])
     held = ~fit if (~fit).any() else fit
     m, t = mean[held], y[held].astype(float)
     weight = np.ones(len(t))

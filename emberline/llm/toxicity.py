@@ -122,8 +122,10 @@ def train(texts: pa.Array, y: np.ndarray, langs: list | None = None, prior: floa
     if len(set(y.tolist())) < 2:
         net.slope, net.shift = 0.0, (20.0 * float(y[0]) if len(y) else 10.0) - 10.0
         return net
-    data, offsets = vectext.flat(texts)
-    rows, begins = words(data, offsets, buckets)
+    parts = [words(*part, buckets) for part in vectext.pieces(texts)]
+    rows = np.concatenate([r.astype(np.int32) for r, _ in parts])
+    begins = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
+    del parts
     fit = np.flatnonzero(np.arange(len(y)) % 5 != 4)
     hold = np.flatnonzero(np.arange(len(y)) % 5 == 4)
     if len(set(y[fit].tolist())) < 2 or len(set(y[hold].tolist())) < 2:
@@ -173,7 +175,7 @@ def train(texts: pa.Array, y: np.ndarray, langs: list | None = None, prior: floa
                 np.add.at(g, back, gx)
                 squares[ids] += (g * g).mean(axis=1, keepdims=True)
                 net.embed[ids] -= 0.1 * g / np.sqrt(squares[ids])
-    raw = net.raw(data, offsets)
+    raw = np.concatenate([net.raw(*part) for part in vectext.pieces(texts)])
     m, t = raw[hold], y[hold].astype(float)
     weight = np.where(t == 1, prior / t.mean(), (1 - prior) / (1 - t.mean())) if prior is not None and 0 < prior < 1 else np.ones(len(t))
     slope, shift = 1.0, 0.0

@@ -90,3 +90,11 @@ def batches(frames, most_bytes: int = 4_000_000, text: str = "text"):
         cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most_bytes)) + 1
         for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+
+
+def pieces(texts: pa.Array | pa.ChunkedArray, most_bytes: int = 2_000_000):
+    """(data, offsets) of stretches of a column, so that a sample's temporary arrays stay small."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    for part in batches([pa.record_batch([texts], ["text"])], most_bytes):
+        yield flat(part.column(0))
