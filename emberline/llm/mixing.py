@@ -117,7 +117,9 @@ def mix(documents: DataFrame, levels: list[str], weights: list[dict], share: flo
     cuts = edge.alias("e").join(last.alias("l"), same("e", "l", path), "left").select("e.*", "l.place")
     # no place begins with a bucket's bare name, so that name ends a prefix just before the bucket
     cuts = cuts.select(*path, F.col("edge.epoch_").alias("last_epoch"), F.coalesce("place", "edge.bucket").alias("last_place"))
-    rows = ordered(documents.select(*map(quoted, kept), *[F.col(quoted(c)).alias(f"level_{k}") for k, c in enumerate(levels)], F.col(quoted(id_column)).cast("string").alias("name"), size.alias("size")))
+    # the documents' own columns travel in one struct, so that their names cannot clash with those used here
+    whole = F.struct(*[F.col(quoted(c)) for c in kept]).alias("row_")
+    rows = ordered(documents.select(whole, *[F.col(quoted(c)).alias(f"level_{k}") for k, c in enumerate(levels)], F.col(quoted(id_column)).cast("string").alias("name"), size.alias("size")))
     rows = rows.alias("r").join(sent(cuts).alias("e"), same("r", "e", path))
     rows = rows.where("last_epoch is null or epoch_ < last_epoch or (epoch_ = last_epoch and place <= last_place)")
-    return rows.select(*[f"r.{quoted(c)}" for c in kept], F.col("epoch_").alias(names[0]), F.col("r.size").alias(names[1]))
+    return rows.select("row_.*", F.col("epoch_").alias(names[0]), F.col("r.size").alias(names[1]))

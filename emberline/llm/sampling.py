@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from .common import F, quoted, whole_text
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, most_rows: int, most_chars: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> pa.Table:
-    """(doc, text, y) of at most `most_rows` labelled documents outside the held-out fold.
+def labelled(documents: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, most_rows: int, most_chars: int = 20_000, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = None) -> pa.Table:
+    """(doc, text, lang, y) of at most `most_rows` labelled documents outside the held-out fold.
 
     Half of the rows, where there are as many, come from each label. Which rows
     are taken depends on a hash of their id only. For training alone, a text is
@@ -21,5 +21,7 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, modulus: int,
     mixed = F.xxhash64(F.lit(11), "doc")
     each = [rows.where(F.col("y") == y).orderBy(mixed, "doc").limit(most_rows // 2) for y in (0, 1)]
     sample = F.broadcast(each[0].unionAll(each[1]))  # at most most_rows rows of 12 bytes
-    texts = documents.select(F.col(quoted(id_column)).alias("doc"), F.substring(whole_text(text_column), 1, most_chars).alias("text"))
-    return texts.join(sample, "doc").toArrow().sort_by([("doc", "ascending"), ("text", "ascending")])
+    lang = F.col(quoted(lang_column)).cast("string") if lang_column else F.lit(None).cast("string")
+    texts = documents.select(F.col(quoted(id_column)).alias("doc"), F.struct(F.substring(whole_text(text_column), 1, most_chars).alias("text"), lang.alias("lang")).alias("t"))
+    found = texts.join(sample, "doc").groupBy("doc").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    return found.select("doc", "t.text", "t.lang", "y").toArrow().sort_by("doc")

@@ -208,15 +208,10 @@ def train(texts: pa.Array, y: np.ndarray, langs: list | None = None, prior: floa
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, left_out: int = 2, most_rows: int = 4000) -> Net:
     """Train on at most `most_rows` labelled documents whose fold is not the held-out one."""
-    sample = labelled(documents, labels, label, modulus, left_out, most_rows)
-    langs: list | None = None
-    if "lang" in documents.columns:
-        named = documents.select("doc_id", "lang").join(F.broadcast(documents.sparkSession.createDataFrame([(int(x),) for x in set(sample.column("doc").to_pylist())], "doc_id long")), "doc_id")
-        by = {r.doc_id: r.lang for r in named.collect()}  # at most as many rows as the sample has ids, times their copies
-        langs = [by.get(x) for x in sample.column("doc").to_pylist()]
+    sample = labelled(documents, labels, label, modulus, left_out, most_rows, lang_column="lang" if "lang" in documents.columns else None)
     fold = F.crc32(F.col("doc_id").cast("string")) % modulus
     prior = labels.where(fold != left_out).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return train(sample.column("text"), sample.column("y").to_numpy().astype(int), langs, prior)
+    return train(sample.column("text"), sample.column("y").to_numpy().astype(int), sample.column("lang").to_pylist(), prior)
 
 
 def score(documents: DataFrame, net: Net, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang", modulus: int = 4, left_out: int = 2, threshold: float = 0.3) -> DataFrame:

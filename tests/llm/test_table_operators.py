@@ -191,7 +191,7 @@ def test_mixture_budgets_and_prefixes(spark):
 def test_mixture_takes_seeded_prefixes(spark):
     rng = random.Random(8)
     rows = [(k, None if k == 5 else "w" * rng.randint(0, 200), rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src1"])) for k in range(500)] + [(5, "dup", "en", "src0")] * 2
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("epoch", F.lit("mine"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("epoch", F.lit("mine")).withColumns({c: F.lit("x") for c in ("name", "size", "place", "level_0", "bucket")})
     out = mixing.mix(docs, ["lang", "source"], [{"en": 3}, {}], 0.8, epochs=2).collect()
     size = lambda t: -(-len(t or "") // 4)
     total = sum(size(r[1]) for r in rows)
