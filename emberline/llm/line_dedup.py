@@ -72,7 +72,10 @@ def links(lines: DataFrame, threshold: float = 0.8, near: int = 8) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     # one row per candidate line, whose set is as large as the line has words
     sets = stored(_shingles(lines.join(wanted, "id", "left_semi")).groupBy("id").agg(F.collect_set("h").alias("h")), "sets")
-    both = pairs.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b")
+    # sets of too different sizes cannot be alike enough; sizes travel before sets do
+    sizes = sets.select("id", F.size("h").alias("n"))
+    fit = pairs.join(sizes.toDF("a", "n1"), "a").join(sizes.toDF("b", "n2"), "b").where(f"least(n1, n2) >= {float(threshold)}D * greatest(n1, n2)").select("a", "b")
+    both = fit.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b")
     made = both.select("a", "b", F.size("s1").alias("n1"), F.size("s2").alias("n2"), F.size(F.array_intersect("s1", "s2")).alias("n"))
     return made.where(f"n >= {float(threshold)}D * (n1 + n2 - n)").select("a", "b")
 
