@@ -10,12 +10,17 @@ document and position, is kept.
 Equal lines are one before anything else. Within a bucket of a band, lines stand
 in the order of another minimum; each is compared with the bucket's first line
 and with the `near` before it, so that the pairs grow with the bucket, not with
-its square. Buckets of up to `near` + 2 lines are compared fully. A shingle set
+its square. Buckets of up to `near` + 2 lines are compared fully. In larger ones
+every pair of lines that still are in different components and share one of
+their rarest shingles, as alike lines must, is compared; where a bucket has more than `WIDE` lines, components are first
+joined through leading lines, those with the commonest shingles. A shingle set
 travels once per line to its pairs, as the text of candidates alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 
 from emberline.operators.components import connected
@@ -24,6 +29,7 @@ from .common import F, bucketed, fresh_name, quoted, release, stored, whole_text
 
 AHEAD = 6  # characters of the next word
 BANDS, ROWS = 7, 3
+WIDE = 256  # lines of a bucket beyond which leaders come before all pairs
 
 
 def _words(line: str = "line"):
@@ -56,8 +62,73 @@ def _shingles(lines: DataFrame) -> DataFrame:
     return words.where("word <> ''").select("id", F.expr(f"xxhash64(word, substring(get(words, at + 1), 1, {AHEAD}))").alias("h"))
 
 
-def links(lines: DataFrame, threshold: float = 0.8, near: int = 8) -> DataFrame:
-    """(a, b) for lines (id, line) with different ids: pairs whose exact Jaccard similarity reaches the threshold."""
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
+    # sets of too different sizes cannot be alike enough; sizes travel before sets do
+    sizes = sets.select("id", F.size("h").alias("n"))
+    fit = pairs.join(sizes.toDF("a", "n1"), "a").join(sizes.toDF("b", "n2"), "b").where(f"least(n1, n2) >= {float(threshold)}D * greatest(n1, n2)").select("a", "b")
+    both = fit.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b")
+    made = both.select("a", "b", F.size("s1").alias("n1"), F.size("s2").alias("n2"), F.size(F.array_intersect("s1", "s2")).alias("n"))
+    return made.where(f"n >= {float(threshold)}D * (n1 + n2 - n)").select("a", "b")
+
+
+def _pairs(left: str, right: str):
+    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+
+
+def _counted(here: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, id, c, n, h, f): the shingles of a bucket's lines, each with the number of the bucket's lines that have it."""
+    tokens = here.join(sets.select("id", F.size("h").alias("n"), F.explode("h").alias("h")), "id")
+    return tokens.join(tokens.groupBy("key", "h").agg(F.count("*").alias("f")), ["key", "h"])
+
+
+def _with_leaders(here: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """Pairs of each line with leaders of its bucket in other components: the `near` lines with the commonest shingles, and such a line of each of the `near` largest components."""
+    scored = stored(_counted(here, sets).groupBy("key", "id", "c").agg(F.avg("f").alias("score")), "scored")
+    best, large = Window.partitionBy("key").orderBy(F.desc("score"), "id"), Window.partitionBy("key").orderBy(F.desc("n"), "id")
+    lines = scored.withColumn("k", F.row_number().over(best)).where(F.col("k") <= near).select("key", "id", "c")
+    parts = scored.groupBy("key", "c").agg(F.count("*").alias("n"), F.max_by("id", F.struct("score", "id")).alias("id"))
+    parts = parts.withColumn("k", F.row_number().over(large)).where(F.col("k") <= near).select("key", "id", "c")
+    leaders = lines.unionAll(parts).distinct().toDF("key", "leader", "lc")
+    return here.join(leaders, "key").where("c <> lc").select(*_pairs("id", "leader")).distinct()
+
+
+def _all_across(here: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of a bucket's lines in different components that can reach the threshold: alike sets share one of the n - ceil(threshold n) + 1 shingles of each that are rarest among these lines."""
+    tokens = sets.join(here.select("id").distinct(), "id", "left_semi").select("id", F.explode("h").alias("h"))
+    counted = tokens.join(tokens.groupBy("h").agg(F.count("*").alias("f")), "h")
+    ranked = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    first = f"slice(hs.h, 1, cast(size(hs) - ceil({float(threshold)}D * size(hs) - 1e-6D) + 1 as int))"
+    rare = stored(here.join(ranked.select("id", F.expr(first).alias("hs")), "id").select("key", "id", "c", F.explode("hs").alias("h")), "rare")
+    parts = rare.select("key", "h", "c").distinct()
+    across = parts.join(parts.withColumnRenamed("c", "c2"), ["key", "h"]).where("c < c2")
+    met = across.join(rare, ["key", "h", "c"]).join(rare.withColumnsRenamed({"id": "other", "c": "c2"}), ["key", "h", "c2"])
+    return met.select(*_pairs("id", "other")).distinct()
+
+
+def _crowded_links(crowded: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, near: int, rounds: int = 2) -> list[DataFrame]:
+    """Links between lines of one bucket, rows (key, id), that `found` leaves in different components, until those of every bucket are joined or compared."""
+    roots = connected(found)
+    here = crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    out: list[DataFrame] = []
+    while True:
+        mixed = here.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("lines")).where("c0 < c1").select("key", "lines")
+        here = stored(here.join(mixed, "key"), "open")
+        release(found.sparkSession)
+        wide = here.where(F.col("lines") > WIDE).select("key", "id", "c")
+        here = here.select("key", "id", "c")
+        if not rounds or wide.isEmpty():
+            return [*out, stored(_alike(stored(_all_across(here, sets, threshold), "pairs"), sets, threshold), "links")]
+        new = stored(_alike(stored(_with_leaders(wide, sets, near), "pairs"), sets, threshold), "links")
+        out.append(new)
+        label = wide.select("id", "c").distinct()
+        merged = new.join(label.toDF("a", "c1"), "a").join(label.toDF("b", "c2"), "b").select("c1", "c2")
+        here = here.join(connected(merged).toDF("c", "component"), "c", "left").select("key", "id", F.coalesce("component", "c").alias("c"))
+        rounds = 0 if new.isEmpty() else rounds - 1
+
+
+def links(lines: DataFrame, threshold: float = 0.8, near: int = 8, forget: Callable[[], None] | None = None) -> DataFrame:
+    """(a, b) for lines (id, line) with different ids: pairs whose exact Jaccard similarity reaches the threshold, so many that any two such lines of one bucket are connected. `forget` is called once the lines are read for the last time."""
     shingles = _shingles(lines)
     mins = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks(BANDS * ROWS))]
     signed = shingles.groupBy("id").agg(*mins)
@@ -65,19 +136,22 @@ def links(lines: DataFrame, threshold: float = 0.8, near: int = 8) -> DataFrame:
     banded = signed.select("id", F.inline(F.array(*band)))
     bucket = Window.partitionBy("key").orderBy("place", "id")
     first = F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    size = F.count("*").over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     others = F.array(first, *[F.lag("id", k).over(bucket) for k in range(1, near + 1)])
-    pairs = banded.select("id", others.alias("others")).select("id", F.explode("others").alias("other")).where("other <> id")
-    pairs = stored(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
+    met = stored(banded.select("key", "id", others.alias("others"), size.alias("size")).where("size > 1"), "met")
     release(lines.sparkSession)
+    pairs = met.select("id", F.explode("others").alias("other")).where("other <> id")
+    pairs = stored(pairs.select(*_pairs("id", "other")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     # one row per candidate line, whose set is as large as the line has words
     sets = stored(_shingles(lines.join(wanted, "id", "left_semi")).groupBy("id").agg(F.collect_set("h").alias("h")), "sets")
-    # sets of too different sizes cannot be alike enough; sizes travel before sets do
-    sizes = sets.select("id", F.size("h").alias("n"))
-    fit = pairs.join(sizes.toDF("a", "n1"), "a").join(sizes.toDF("b", "n2"), "b").where(f"least(n1, n2) >= {float(threshold)}D * greatest(n1, n2)").select("a", "b")
-    both = fit.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b")
-    made = both.select("a", "b", F.size("s1").alias("n1"), F.size("s2").alias("n2"), F.size(F.array_intersect("s1", "s2")).alias("n"))
-    return made.where(f"n >= {float(threshold)}D * (n1 + n2 - n)").select("a", "b")
+    if forget:
+        forget()
+    release(sets.sparkSession)
+    found = stored(_alike(pairs, sets, threshold), "links")
+    for more in _crowded_links(met.where(F.col("size") > near + 2).select("key", "id"), found, sets, threshold, near):
+        found = found.unionAll(more)
+    return found
 
 
 def dropped(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, min_chars: int = 20, near: int = 8) -> DataFrame:
@@ -88,9 +162,8 @@ def dropped(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     # in buckets by id, so that neither the signatures nor the candidates' texts are shuffled again
     distinct, forget = bucketed(rows.select(key.alias("id"), "line").groupBy("id").agg(F.min("line").alias("line")), "lines", "id")
     release(documents.sparkSession)
-    edges = links(distinct, threshold, near)
+    edges = links(distinct, threshold, near, forget)
     del distinct
-    forget()
     release(documents.sparkSession)
     roots = connected(edges)
     class_of = places.join(roots, places.id == roots.node, "left").select("doc", "pos", "id", F.coalesce("component", "id").alias("class"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from emberline.llm import ann, chat, line_dedup, mixing, queries, simhash
+from emberline.operators.components import connected
 from tests.llm.test_text_operators import slow_fingerprint
 
 ROLES = ["system", "user", "assistant", None, "to\\ol\n</s>"]
@@ -141,6 +142,14 @@ def slow_set(line):
     return {(w, words[k + 1][:6] if k + 1 < len(words) else None) for k, w in enumerate(words) if w}
 
 
+def bands_of(lines):
+    """The buckets of each line, by the operator's own hashes."""
+    rows = line_dedup._shingles(lines).groupBy("id").agg(F.collect_list("h").alias("h")).collect()
+    masks, n = line_dedup._masks(line_dedup.BANDS * line_dedup.ROWS), line_dedup.ROWS
+    least = {r.id: [min(h ^ m for h in r.h) for m in masks] for r in rows}
+    return {k: {(b, *m[b * n : b * n + n]) for b in range(line_dedup.BANDS)} for k, m in least.items()}
+
+
 def test_lines_match_all_pairs(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(300)]
@@ -172,6 +181,21 @@ def test_lines_match_all_pairs(spark):
     assert line_dedup.dedup(frame.where("false")).count() == 0
 
 
+def test_lines_of_large_buckets_are_all_joined(spark):
+    """2,000 copies of a line, each with another word at some place, are alike to the line itself and mostly not to each other."""
+    rng = random.Random(11)
+    words = [f"w{k}x{rng.randrange(10**6)}" for k in range(25)]
+    copies = [" ".join([*words[: k % 25], f"other{k}", *words[k % 25 + 1 :]]) for k in range(2000)]
+    lines = spark.createDataFrame(list(enumerate([*copies, " ".join(words)])), "id long, line string")
+    found = line_dedup.links(lines, 0.8)
+    classes = {r.node: r.component for r in connected(found).collect()}
+    sets = [slow_set(x) for x in [*copies, " ".join(words)]]
+    assert all(len(sets[r.a] & sets[r.b]) >= 0.8 * len(sets[r.a] | sets[r.b]) for r in found.collect())
+    keys = bands_of(lines)
+    met = [k for k in range(2000) if keys[k] & keys[2000]]
+    assert len(met) > 1900 and {classes[k] for k in met} == {classes[2000]}
+
+
 def test_ideographs_and_long_runs_have_shingles(spark):
     lines = spark.createDataFrame([(1, "一二三四五六七八九十" * 3), (2, "一二三四五六七八九十" * 3 + "。"), (3, "x" * 60), (4, "x" * 59 + "y")], "id long, line string")
     assert {(r.a, r.b) for r in line_dedup.links(lines, 0.8).collect()} >= {(1, 2)}
