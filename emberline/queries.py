@@ -107,10 +107,19 @@ _SITES = "SELECT c_custkey AS site, CAST(c_custkey * 911 % 25600 AS DOUBLE) AS x
 @query(f"""SELECT site, date, round(min(cloud), 6) AS cloud FROM (SELECT site, scene, date, arg_min(cloud, ((q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y), q.x, q.y)) AS cloud
     FROM ({_SITES}) t JOIN ({_SQUARES}) q ON abs(q.x - t.x) <= 320 AND abs(q.y - t.y) <= 320 GROUP BY ALL) GROUP BY site, date""")
 def site_looks(spark, sf_dir):
+    return _looks(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey <= 300"))
+
+
+@query()
+def site_looks_whole(spark, sf_dir):
+    return _looks(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
+def _looks(spark, sf_dir, customers):
     squares = table(spark, sf_dir, "events").select(
         F.expr("cast(event_id % 60 as int) as scene"), F.expr("date_add(date '2024-01-01', cast(event_id % 60 % 20 as int)) as date"), F.expr("cast(user_id % 40 * 640 + 320 as double) as x"), F.expr("cast(event_id % 30 * 640 + 300 as double) as y"), F.expr("cast(event_id % 7 as double) / 7 as cloud"),
     ).groupBy("scene", "date", "x", "y").agg(F.min("cloud").alias("cloud"))
-    sites = table(spark, sf_dir, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("site"), F.expr("cast(c_custkey * 911 % 25600 as double) as x"), F.expr("cast(c_custkey * 577 % 19200 as double) as y"))
+    sites = customers.select(F.col("c_custkey").alias("site"), F.expr("cast(c_custkey * 911 % 25600 as double) as x"), F.expr("cast(c_custkey * 577 % 19200 as double) as y"))
     return rounded(linkage.square_under(sites, squares), "cloud")
 
 
@@ -192,8 +201,8 @@ def hotspot_to_cell(spark, sf_dir):
 _SQUARE_ROWS = """SELECT c AS scene, k, CAST(CASE WHEN c % 4 = 0 THEN 0.25 ELSE (c * 7 + k * 13) % 11 / 11.0 END AS DOUBLE) AS cloud FROM (SELECT c_custkey AS c FROM customer WHERE c_custkey <= 100), (SELECT unnest(range(100)) AS k) WHERE NOT (c % 3 = 0 AND k % 7 = 0)"""
 
 
-def _square_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("scene"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k"))
+def _square_rows(customers):
+    rows = customers.select(F.col("c_custkey").alias("scene"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k"))
     share = F.when(F.col("scene") % 4 == 0, F.lit(0.25)).otherwise((F.col("scene") * 7 + F.col("k") * 13) % 11 / F.lit(11.0))
     rows = rows.where("not (scene % 3 = 0 and k % 7 = 0)").withColumn("cloud", share)
     one = [F.lit(x) for x in (300010.0, 4200030.0, 300000.0, 4200000.0)]
@@ -205,14 +214,32 @@ def _square_rows(spark, sf_dir):
 
 @query(f"SELECT scene, round(avg(cloud), 6) AS cloud, CASE WHEN count(*) = 100 AND min(cloud) = max(cloud) THEN NULL ELSE count(*) END AS kept, CASE WHEN count(*) = 100 AND min(cloud) = max(cloud) THEN NULL ELSE round(sum(round(cloud, 3)), 6) END AS total FROM ({_SQUARE_ROWS}) GROUP BY scene")
 def squares_pack(spark, sf_dir):
-    packs, _ = _square_rows(spark, sf_dir)
+    return _packs(table(spark, sf_dir, "customer").where("c_custkey <= 100"))
+
+
+@query()
+def squares_pack_whole(spark, sf_dir):
+    return _packs(table(spark, sf_dir, "customer"))
+
+
+def _packs(customers):
+    packs, _ = _square_rows(customers)
     have = F.array_compact("packed")
     return packs.select("scene", F.round("cloud", 6).alias("cloud"), F.when(F.col("packed").isNotNull(), F.size(have).cast("long")).alias("kept"), F.round(F.aggregate(have, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query(f"SELECT scene, CAST(300330 + 640 * (30 + k % 10) AS DOUBLE) AS x, CAST(4199710 - 640 * (50 + k // 10) AS DOUBLE) AS y, round(cloud, 3) AS cloud FROM ({_SQUARE_ROWS})")
 def squares_unpack(spark, sf_dir):
-    packs, at = _square_rows(spark, sf_dir)
+    return _unpacks(table(spark, sf_dir, "customer").where("c_custkey <= 100"))
+
+
+@query()
+def squares_unpack_whole(spark, sf_dir):
+    return _unpacks(table(spark, sf_dir, "customer"))
+
+
+def _unpacks(customers):
+    packs, at = _square_rows(customers)
     out = packs.select("scene", F.inline(store.unpacked(F.col("packed"), *at, F.col("cloud"))))
     return rounded(out, "cloud", places=3)
 
@@ -271,7 +298,17 @@ def answer_fresh(spark, sf_dir):
     WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey % 50 = w.square AND CAST(o.o_orderdate AS DATE) = w.day) GROUP BY square, b""")
 def search_gaps(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    wanted = orders.where("o_custkey < 51").selectExpr("o_custkey % 50 as square").distinct()
+    return _gaps(orders, orders.where("o_custkey < 51"))
+
+
+@query()
+def search_gaps_whole(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return _gaps(orders, orders)
+
+
+def _gaps(orders, asked):
+    wanted = asked.selectExpr("o_custkey % 50 as square").distinct()
     done = orders.selectExpr("o_custkey % 50 as square", "cast(o_orderdate as date) as day")
     return store.search_gaps(wanted, done, "1996-01-01", "1996-06-30")
 
