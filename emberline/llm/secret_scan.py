@@ -2,7 +2,8 @@
 
 A vocabulary learnt from prose has long tokens for what people write and short
 ones for random characters. A long run of key characters with few characters
-per token is therefore a random string. Digests and identifiers are random too
+per token is therefore a random string; where names or path parts beside it
+hide that, so is a part of the run. Digests and identifiers are random too
 but no secrets, so runs that are known digests, digest-shaped or UUIDs are left
 out, as are plain numbers.
 """
@@ -25,6 +26,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Parts of a run: values of names, then path parts, then words with dashes or underscores between.
+_PARTS = (re.compile(r"[^=]+"), re.compile(r"[^=/]+"), re.compile(r"[^=/_-]+"))
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE | re.ASCII)
 #: Hex digits of common digests: 128, 160, 224, 256, 384 and 512 bits.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE | re.ASCII)
@@ -46,19 +49,37 @@ class Scanner:
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.most_ratio, self.known = most_ratio, known
 
+    def is_plain(self, run: str) -> bool:
+        """Too short, a number, a digest or an identifier, as a whole."""
+        plain = run.strip("=-_./+")
+        return bool(len(plain) < 20 or plain.isdigit() or plain.lower() in self.known or _DIGEST.fullmatch(plain) or _UUID.fullmatch(plain))
+
     def is_random(self, run: str) -> bool:
         plain = run.strip("=-_./+")
-        if len(plain) < 20 or plain.isdigit() or plain.lower() in self.known or _DIGEST.fullmatch(plain) or _UUID.fullmatch(plain):
+        if self.is_plain(run):
             return False
         # words with dashes between, paths and table rules are no single string
         if not re.search(r"[0-9]", plain) or not re.search(r"[A-Za-z]", plain):
             return False
         return len(run) <= self.most_ratio * len(self.bpe.encode_ordinary(run))
 
+    def random_spans(self, text: str, start: int, end: int, level: int = 0) -> list[tuple[int, str, int]]:
+        """A run that is random as a whole, else those of its parts between the signs of the next level that are."""
+        run = text[start:end]
+        if self.is_plain(run):
+            return []
+        if self.is_random(run):
+            return [(start, "random", end)]
+        out = []
+        for m in _PARTS[level].finditer(text, start, end) if level < len(_PARTS) else ():
+            out += self.random_spans(text, m.start(), m.end(), level + 1)
+        return out
+
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         """All spans in order of start, then of the kind as listed in KINDS."""
         out = base_spans(text)
-        out += [(m.start(), "random", m.end()) for m in _RUN.finditer(text) if self.is_random(m.group())]
+        for m in _RUN.finditer(text):
+            out += self.random_spans(text, m.start(), m.end())
         return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 

@@ -136,6 +136,22 @@ def slow_base(text):
     return out
 
 
+def test_random_parts_of_runs():
+    rng = random.Random(3)
+    scanner = secret_scan._scanner(queries.RANKS, queries.PATTERN, 2.0, frozenset())
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for before in ("/internal/production/configuration/service/credentials/", "deployment_authorization_credential="):
+        for n in (24, 40):
+            found = 0
+            for _ in range(100):
+                text = f"see {before}{''.join(rng.choice(letters) for _ in range(n))} for it"
+                ends = [s for s in scanner.spans(text) if s[1] == "random" and s[2] == len(text) - 7]
+                found += bool(ends) and ends[0][0] in (4, len(before) + 4)
+            assert found >= 90, (before, n, found)
+    for text in ("/internal/production/configuration2/service/credentials/", "/objects/da39a3ee5e6b4b0d3255bfef95601890afd80709/internal/configuration"):
+        assert not [s for s in scanner.spans(text) if s[1] == "random"]
+
+
 def test_secret_spans(spark):
     texts = SECRETS + [t for t in ODD]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
