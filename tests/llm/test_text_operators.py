@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from emberline.llm import audio, bpe, packing, quality, queries, secret_scan, simhash, toxicity, vectext
+from emberline.llm import audio, bpe, packing, quality, queries, sampling, secret_scan, simhash, toxicity, vectext
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 ODD = ["", None, " ", "\n\n", "a", "it's 'll 've'd  x\t\n y", "é" * 40, "日本語 テキスト", "<|endoftext|> a<|endoftext|>", "x" * 5000, "word " * 3000]
@@ -136,6 +136,17 @@ def slow_base(text):
     return out
 
 
+def test_training_texts_are_whole(spark):
+    texts = ["plain words " * 2500 + f"passage {k}" for k in range(8)]
+    documents = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")
+    got = sampling.labelled(documents, labels, "toxic", 1, -1, 8, 40_000)
+    assert dict(zip(got["doc"].to_pylist(), got["text"].to_pylist())) == dict(enumerate(texts))
+    few = sampling.labelled(documents, labels, "toxic", 1, -1, 8, 10_000)
+    assert few.num_rows == 2 and set(few["text"].to_pylist()) <= set(texts) and set(few["y"].to_pylist()) == {0, 1}
+    assert sampling.labelled(documents, labels.where("false"), "toxic", 1, -1, 8).num_rows == 0
+
+
 def test_random_parts_of_runs():
     rng = random.Random(3)
     scanner = secret_scan._scanner(queries.RANKS, queries.PATTERN, 2.0, frozenset())
