@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,16 +22,38 @@ SETTINGS = {
 }
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_STORED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_RUNS: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own, which only a local master can share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="emberline-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder within the shared one; it goes with the application."""
+    path = f"{shared_dir(spark).rstrip('/')}/emberline-{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        _RUNS[path] = spark
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the application may have ended already
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow table through Spark's reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -36,7 +61,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of a wide table: written as Parquet to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage of a wide table: written as Parquet to the shared folder and read again. The shuffles behind it go with the write."""
+    spark = df.sparkSession
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for frame in frames:
+        path = _STORED.pop(frame, None)
+        if path:
+            _delete(frame.sparkSession, path)
