@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import itertools
 import re
-import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.session import shared_dir, stored  # noqa: F401
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of what nobody refers to any more; it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
-    """Like stored(), in as many buckets by a key as there are shuffle partitions: what groups or joins by the key needs no shuffle. Also gives a function that removes the table, once nothing reads it."""
-    spark = df.sparkSession
-    path, table_name = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", f"{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # after an aggregation by the key, rows already lie by its hash, a file for each bucket
-    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table_name)
-
-    def forget() -> None:
-        spark.sql(f"drop table if exists {table_name}")
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-    return spark.table(table_name), forget
+from emberline.session import discard, stored  # noqa: F401
 
 
 def fresh_name(columns: list[str], stem: str) -> str:

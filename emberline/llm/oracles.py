@@ -52,12 +52,13 @@ SELECT doc_id, domain, lang, source, CAST(epoch AS INT) AS epoch, tokens FROM r
 
 LINES = r"""
 WITH RECURSIVE l AS (SELECT doc_id, pos - 1 AS pos, line FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
-u AS (SELECT row_number() OVER (ORDER BY line) AS id, line FROM (SELECT DISTINCT line FROM l WHERE length(trim(line)) >= 20)),
-w AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, ws FROM (SELECT id, string_split(lower(line), ' ') AS ws FROM u)),
-s AS (SELECT DISTINCT id, word || chr(1) || coalesce(left(ws[k + 1], 6), chr(2)) AS g FROM w WHERE word <> ''),
+u AS (SELECT row_number() OVER (ORDER BY line) AS id, line FROM (SELECT DISTINCT line FROM l WHERE trim(line) <> '')),
+g AS (SELECT id, lower(line) AS line FROM u),
+s AS (SELECT DISTINCT id, substring(line, CAST(k AS BIGINT), 5) AS g FROM (SELECT id, line, unnest(range(1, greatest(length(line) - 3, 2))) AS k FROM g)),
 c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
-x AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
-e AS (SELECT a, b FROM x JOIN c p ON p.id = a JOIN c q ON q.id = b WHERE x.n >= 0.8 * (p.n + q.n - x.n)),
+z AS (SELECT id, g, n FROM s JOIN c USING (id)),
+x AS (SELECT a.id AS a, b.id AS b, count(*) AS n, any_value(a.n) AS p, any_value(b.n) AS q FROM z a JOIN z b ON a.g = b.g AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY ALL),
+e AS (SELECT a, b FROM x WHERE n >= 0.8 * (p + q - n)),
 both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, a FROM both_ UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON both_.a = reach.b),
 comp AS (SELECT a AS id, min(b) AS cls FROM reach GROUP BY a),
