@@ -1,27 +1,60 @@
 """Two-dimensional variables of netCDF-4 (HDF5) files, the part that the night sensor's granules use.
 
-Version 2 object headers; hard links in the root group's header or its heap;
-chunked variables with a leaf of a version 1 b-tree; shuffle and deflate filters;
-attributes in the header or in a heap of one direct block. Anything else is
-refused by name.
+Written from the HDF5 file format specification, version 3.0. An object is read
+into its header messages, each parsed by the function that MESSAGES names for its
+type; links and attributes that stand in a fractal heap are found through the
+version 2 b-tree that indexes them by name. Read are version 2 object headers,
+heaps of one direct block, b-trees of one leaf, and chunked variables whose
+chunks are shuffled or deflated. Anything else is refused by name.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import namedtuple
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 SIGNATURE = b"\x89HDF\r\n\x1a\n"
 NOWHERE = (1 << 64) - 1
+#: Where the superblock has the root group's address, by its version (sections II.A of the specification).
+ROOT_AT = {0: 64, 2: 36, 3: 36}
+#: Message types (section IV.A.2).
+DATASPACE, LINK_INFO, DATATYPE, LINK, LAYOUT, PIPELINE, ATTRIBUTE, CONTINUATION, ATTRIBUTE_INFO = 1, 2, 3, 6, 8, 11, 12, 16, 21
+DEFLATE, SHUFFLE = 1, 2
+
+_Heap = namedtuple("_Heap", "signature version id_size filters flags most_managed counts width first_size most_direct bits rows_first root rows")
 
 
 class Unsupported(ValueError):
     """What a file has that is not read here."""
 
 
+class Cursor:
+    """Little-endian fields, one after another."""
+
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at = data, at
+
+    def take(self, n: int) -> bytes:
+        part = self.data[self.at : self.at + n] if self.at >= 0 else b""
+        if n < 0 or len(part) != n:
+            raise Unsupported("the file ends within a field")
+        self.at += n
+        return part
+
+    def uint(self, n: int) -> int:
+        return int.from_bytes(self.take(n), "little")
+
+    def sign(self, expected: bytes, what: str) -> Cursor:
+        if self.take(len(expected)) != expected:
+            raise Unsupported(f"no {what} where one should be")
+        return self
+
+
 @dataclass
 class Variable:
     shape: tuple[int, int] = (0, 0)
@@ -40,202 +73,209 @@ class Variable:
         return self.attributes.get("add_offset", 0.0)
 
 
-def _int(data: bytes, at: int, n: int) -> int:
-    if at < 0 or at + n > len(data):
-        raise Unsupported("a value past the file's end")
-    return int.from_bytes(data[at : at + n], "little")
+def dataspace(c: Cursor) -> tuple[int, ...]:
+    """The sizes of the dimensions."""
+    version, rank, _ = c.uint(1), c.uint(1), c.uint(1)
+    c.take({1: 5, 2: 1}.get(version, 0))
+    if version not in (1, 2):
+        raise Unsupported(f"dataspace of version {version}")
+    return tuple(c.uint(8) for _ in range(rank))
+
+
+def datatype(c: Cursor) -> str:
+    """numpy's name of a fixed-point or floating-point number."""
+    family, bits, size = c.uint(1) & 15, c.uint(3), c.uint(4)
+    signs = {0: "i" if bits & 8 else "u", 1: "f"}
+    name = f"<{signs.get(family, '?')}{size}"
+    if name not in ("<i1", "<i2", "<i4", "<i8", "<u1", "<u2", "<u4", "<u8", "<f4", "<f8"):
+        raise Unsupported(f"datatype of class {family} and {size} bytes")
+    return name
+
+
+def layout(c: Cursor) -> tuple[int, tuple[int, ...]]:
+    """Address of the chunk index, and the sizes of a chunk, that of an element last."""
+    version, storage = c.uint(1), c.uint(1)
+    if (version, storage) != (3, 2):
+        raise Unsupported(f"layout of version {version} and class {storage}: only chunks are read")
+    rank = c.uint(1)
+    return c.uint(8), tuple(c.uint(4) for _ in range(rank))
+
+
+def pipeline(c: Cursor) -> list[int]:
+    """The filters' numbers, in the order they were applied in."""
+    version, count = c.uint(1), c.uint(1)
+    c.take(6 if version == 1 else 0)
+    found = []
+    for _ in range(count):
+        found.append(c.uint(2))
+        letters = c.uint(2) if version == 1 or found[-1] > 255 else 0
+        c.take(2)
+        values = c.uint(2)
+        c.take(letters + (-letters % 8 if version == 1 else 0))
+        c.take(4 * (values + (values % 2 if version == 1 else 0)))
+    return found
+
+
+def attribute(c: Cursor) -> tuple[str, float | None]:
+    """Name and value; no value unless it is a number."""
+    version = c.uint(1)
+    if version not in (1, 2, 3):
+        raise Unsupported(f"attribute of version {version}")
+    c.take(1)
+    sizes = [c.uint(2) for _ in range(3)]
+    c.take(1 if version == 3 else 0)
+    name, kind, _ = (Cursor(c.take(n + (-n % 8 if version == 1 else 0))) for n in sizes)
+    label = name.data[: sizes[0]].split(b"\0")[0].decode("utf-8", "replace")
+    try:
+        number = np.dtype(datatype(kind))
+        return label, float(np.frombuffer(c.take(number.itemsize), number)[0])
+    except Unsupported:
+        return label, None
 
 
-def _number(data: bytes) -> str:
-    """numpy's name of a datatype message's number."""
-    kind, size = data[0] & 15, _int(data, 4, 4)
-    if kind == 0 and size in (1, 2, 4, 8):
-        return ("<i" if data[1] & 8 else "<u") + str(size)
-    if kind == 1 and size in (4, 8):
-        return f"<f{size}"
-    raise Unsupported("not a supported number")
+def link(c: Cursor) -> tuple[str, int]:
+    """Name and address; no address unless the link is a hard one."""
+    c.take(1)
+    flags = c.uint(1)
+    soft = c.uint(1) if flags & 8 else 0
+    c.take((8 if flags & 4 else 0) + (1 if flags & 16 else 0))
+    name = c.take(c.uint(1 << (flags & 3))).decode("utf-8", "replace")
+    return name, NOWHERE if soft else c.uint(8)
+
+
+def index_info(order_bytes: int) -> Callable[[Cursor], tuple[int, int]]:
+    """Parser of link info and attribute info: addresses of the heap and of its index by name."""
+
+    def parse(c: Cursor) -> tuple[int, int]:
+        c.take(1)
+        c.take(order_bytes if c.uint(1) & 1 else 0)
+        return c.uint(8), c.uint(8)
+
+    return parse
+
+
+MESSAGES: dict[int, Callable] = {
+    DATASPACE: dataspace, LINK_INFO: index_info(8), DATATYPE: datatype, LINK: link, LAYOUT: layout, PIPELINE: pipeline, ATTRIBUTE: attribute, ATTRIBUTE_INFO: index_info(2),
+}
 
 
 class File:
     def __init__(self, data: bytes):
         self.data = data
-        if data[:8] != SIGNATURE:
+        if not data.startswith(SIGNATURE):
             raise Unsupported("no hdf5 file")
-        version = data[8]
-        if version in (2, 3):
-            self.root = _int(data, 36, 8)
-        elif version == 0:
-            self.root = _int(data, 64, 8)
-        else:
-            raise Unsupported("an unknown superblock")
-
-    def messages(self, at: int) -> list[tuple[int, bytes]]:
-        """(type, body) of an object header's messages, continuations included."""
-        data = self.data
-        if data[at : at + 4] != b"OHDR":
-            raise Unsupported("an hdf5 header older than v2")
-        flags = data[at + 5]
-        body = at + 6 + (16 if flags & 32 else 0) + (4 if flags & 16 else 0)
-        width = 1 << (flags & 3)
-        blocks, out = [(body + width, _int(data, body, width))], []
-        for start, size in blocks:
-            end, k = start + size, start
-            head = 6 if flags & 4 else 4
-            while k + head <= end:
-                kind, n = data[k], _int(data, k + 1, 2)
-                k += head
-                if k + n > end:
-                    raise Unsupported("short object message")
-                part = data[k : k + n]
-                if kind == 16:
-                    address, length = struct.unpack("<QQ", part)
-                    if data[address : address + 4] != b"OCHK" or len(blocks) > 64:
-                        raise Unsupported("invalid header continuation")
-                    blocks.append((address + 4, length - 8))
+        version = Cursor(data, len(SIGNATURE)).uint(1)
+        if version not in ROOT_AT:
+            raise Unsupported(f"superblock of version {version}")
+        self.root = Cursor(data, ROOT_AT[version]).uint(8)
+
+    def messages(self, at: int) -> Iterator[tuple[int, bytes]]:
+        """(type, body) of an object's header messages, in the blocks that continue it too."""
+        c = Cursor(self.data, at).sign(b"OHDR", "object header of version 2")
+        c.take(1)
+        flags = c.uint(1)
+        c.take((16 if flags & 32 else 0) + (4 if flags & 16 else 0))
+        size = c.uint(1 << (flags & 3))
+        todo, seen, order = [(c.at, size)], set(), 2 if flags & 4 else 0
+        while todo:
+            begin, size = todo.pop(0)
+            if begin in seen:
+                raise Unsupported("an object header that continues in itself")
+            seen.add(begin)
+            block = Cursor(Cursor(self.data, begin).take(size))
+            while size - block.at >= 4 + order:  # less is a gap
+                kind, length = block.uint(1), block.uint(2)
+                block.take(1 + order)
+                body = block.take(length)
+                if kind == CONTINUATION:
+                    where, n = struct.unpack("<QQ", body)
+                    todo.append((Cursor(self.data, where).sign(b"OCHK", "header continuation").at, n - 8))
                 else:
-                    out.append((kind, part))
-                k += n
+                    yield kind, body
+
+    def parsed(self, at: int) -> dict[int, list]:
+        """What an object's messages say, by their type."""
+        out: dict[int, list] = {kind: [] for kind in MESSAGES}
+        for kind, body in self.messages(at):
+            if kind in MESSAGES:
+                out[kind].append(MESSAGES[kind](Cursor(body)))
         return out
 
-    def _heap(self, at: int) -> bytes:
-        """The objects of a fractal heap of one direct block."""
-        if self.data[at : at + 4] != b"FRHP":
-            raise Unsupported("invalid heap")
-        if _int(self.data, at + 140, 2):
-            raise Unsupported("an indirect heap")
-        root, size = _int(self.data, at + 132, 8), _int(self.data, at + 112, 8)
-        return self.data[root : root + size]
-
-    @staticmethod
-    def _link(part: bytes) -> tuple[str, int] | None:
-        """Name and address of a hard link message."""
-        flags, at = part[1], 2
-        if flags & 8:
-            if part[at]:
-                return None
-            at += 1
-        at += 8 if flags & 4 else 0
-        at += 1 if flags & 16 else 0
-        width = 1 << (flags & 3)
-        n = _int(part, at, width)
-        at += width
-        return part[at : at + n].decode(), _int(part, at + n, 8)
-
-    @staticmethod
-    def _attribute(part: bytes) -> tuple[str, float] | None:
-        """Name and value of an attribute message that holds one number."""
-        version = part[0] if len(part) >= 8 else 0
-        if version not in (1, 2, 3):
-            return None
-        names, types, spaces = (_int(part, k, 2) for k in (2, 4, 6))
-        at = 9 if version == 3 else 8
-        pad = (lambda n: -(-n // 8) * 8) if version == 1 else (lambda n: n)
-        name = part[at : at + names].rstrip(b"\0")
-        kind_at = at + pad(names)
-        value_at = kind_at + pad(types) + pad(spaces)
-        try:
-            kind = _number(part[kind_at : kind_at + types])
-            return name.decode(), float(np.frombuffer(part, kind, 1, value_at)[0])
-        except (Unsupported, ValueError, IndexError):
-            return None
+    def _indexed(self, heap_at: int, tree_at: int, id_from: int) -> Iterator[Cursor]:
+        """The heap's objects that an index's records name; id_from is where a record has the object's id."""
+        if NOWHERE in (heap_at, tree_at):
+            return
+        head = Cursor(self.data, heap_at)
+        fields = struct.unpack("<4sBHHBI96sHQQHHQH", head.take(142))
+        heap = _Heap(*fields)
+        if heap.signature != b"FRHP":
+            raise Unsupported("no heap where one should be")
+        if heap.rows or heap.filters:
+            raise Unsupported("a heap of more than one plain block")
+        tree = Cursor(self.data, tree_at).sign(b"BTHD", "index by name")
+        tree.take(6)
+        record, depth = tree.uint(2), tree.uint(2)
+        tree.take(2)
+        leaf_at, count = tree.uint(8), tree.uint(2)
+        if not count:
+            return
+        if depth:
+            raise Unsupported("an index by name that is deeper than a leaf")
+        leaf = Cursor(self.data, leaf_at).sign(b"BTLF", "leaf of an index")
+        leaf.take(2)
+        wide = -(-heap.bits // 8)
+        for _ in range(count):
+            name = Cursor(leaf.take(record), id_from)
+            if name.uint(1) & 0x30:
+                raise Unsupported("an object outside of the heap's block")
+            begin = name.uint(wide)
+            size = name.uint(heap.id_size - 1 - wide)
+            yield Cursor(Cursor(self.data, heap.root + begin).take(size))
 
     def names(self) -> dict[str, int]:
         """Addresses of the root group's objects by name."""
-        out, heap = {}, NOWHERE
-        for kind, part in self.messages(self.root):
-            if kind == 6 and (found := self._link(part)):
-                out[found[0]] = found[1]
-            elif kind == 2:
-                at = 2 + (8 if part[1] & 1 else 0)
-                heap = _int(part, at, 8)
-        if heap != NOWHERE:
-            objects = self._heap(heap)
-            for at in range(len(objects) - 4):
-                if objects[at] == 1 and objects[at + 1] & ~0x1F == 0:
-                    try:
-                        found = self._link(objects[at:])
-                    except (Unsupported, UnicodeDecodeError):
-                        continue
-                    if found and found[0] and found[0].isprintable() and self.data[found[1] : found[1] + 4] == b"OHDR":
-                        out.setdefault(*found)
-        return out
+        root = self.parsed(self.root)
+        links = [*root[LINK], *(link(c) for at in root[LINK_INFO] for c in self._indexed(*at, 4))]
+        return {name: at for name, at in links if at != NOWHERE}
 
-    def attributes(self, messages: list[tuple[int, bytes]]) -> dict[str, float]:
-        out = {}
-        for kind, part in messages:
-            if kind == 12 and (found := self._attribute(part)):
-                out[found[0]] = found[1]
-            elif kind == 21:
-                heap = _int(part, 2 + (2 if part[1] & 1 else 0), 8)
-                if heap != NOWHERE:
-                    objects = self._heap(heap)
-                    for at in range(len(objects) - 8):
-                        if objects[at] in (1, 2, 3):
-                            name_at = at + (9 if objects[at] == 3 else 8)
-                            size = _int(objects, at + 2, 2)
-                            if 1 < size < 64 and objects[name_at + size - 1 : name_at + size] == b"\0" and objects[name_at : name_at + size - 1].isascii() and (found := self._attribute(objects[at:])):
-                                out.setdefault(*found)
-        return out
+    def attributes(self, parsed: dict[int, list]) -> dict[str, float]:
+        """An object's attributes that are numbers."""
+        every = [*parsed[ATTRIBUTE], *(attribute(c) for at in parsed[ATTRIBUTE_INFO] for c in self._indexed(*at, 0))]
+        return {name: value for name, value in every if value is not None}
 
     def global_attributes(self) -> dict[str, float]:
-        return self.attributes(self.messages(self.root))
+        return self.attributes(self.parsed(self.root))
 
     def variable(self, name: str) -> Variable:
-        names = self.names()
-        if name not in names:
-            raise Unsupported("variable not found")
-        out, messages = Variable(), self.messages(names[name])
-        for kind, part in messages:
-            if kind == 1:
-                if part[0] not in (1, 2) or part[1] != 2:
-                    raise Unsupported("not a 2-d variable")
-                at = 8 if part[0] == 1 else 4
-                out.shape = (_int(part, at, 8), _int(part, at + 8, 8))
-            elif kind == 3:
-                out.kind = _number(part)
-            elif kind == 8:
-                if part[0] != 3 or part[1] != 2 or part[2] != 3:
-                    raise Unsupported("not chunked")
-                out.index, out.chunk = _int(part, 3, 8), (_int(part, 11, 4), _int(part, 15, 4))
-            elif kind == 11:
-                out.shuffled = self._filters(part)
-        if out.index == NOWHERE or not out.kind or 0 in out.shape or 0 in out.chunk:
-            raise Unsupported("variable not chunked")
-        out.attributes = self.attributes(messages)
-        return out
+        at = self.names().get(name)
+        if at is None:
+            raise Unsupported(f"variable {name} not found")
+        parsed = self.parsed(at)
+        lone = [parsed[kind][-1:] for kind in (DATASPACE, DATATYPE, LAYOUT)]
+        if not all(lone):
+            raise Unsupported(f"{name} is no variable")
+        (shape,), (kind,), ((index, chunk),) = lone
+        if len(shape) != 2 or len(chunk) != 3 or 0 in (*shape, *chunk):
+            raise Unsupported(f"{name} has other than two dimensions, or an empty one")
+        filters = [f for applied in parsed[PIPELINE] for f in applied]
+        if filters not in ([DEFLATE], [SHUFFLE, DEFLATE]):
+            raise Unsupported(f"filters {filters} of {name}")
+        return Variable(shape, chunk[:2], kind, SHUFFLE in filters, index, self.attributes(parsed))
 
-    @staticmethod
-    def _filters(part: bytes) -> bool:
-        version, count = part[0], part[1]
-        if version not in (1, 2):
-            raise Unsupported("unknown filter version")
-        at, shuffled = (8 if version == 1 else 2), False
-        for _ in range(count):
-            number = _int(part, at, 2)
-            named = version == 1 or number >= 256
-            name = _int(part, at + 2, 2) if named else 0
-            values = _int(part, at + (6 if named else 4), 2)
-            if number not in (1, 2):
-                raise Unsupported("an unknown filter")
-            shuffled |= number == 2
-            at += (8 if named else 6) + (-(-name // 8) * 8 if version == 1 else name) + 4 * values
-            at += 4 if version == 1 and values % 2 else 0
-        return shuffled
-
-    def chunks(self, v: Variable) -> list[tuple[int, int, int, int]]:
+    def chunks(self, v: Variable) -> Iterator[tuple[int, int, int, int]]:
         """(row, column, address, size) of a variable's chunks."""
-        at = v.index
-        if self.data[at : at + 4] != b"TREE" or self.data[at + 4] != 1:
-            raise Unsupported("not a chunk index")
-        if self.data[at + 5]:
-            raise Unsupported("a chunk index deeper than a leaf")
-        out = []
-        for k in range(_int(self.data, at + 6, 2)):
-            key = at + 24 + 40 * k
-            if _int(self.data, key + 4, 4):
-                raise Unsupported("a chunk left unfiltered")
-            out.append((_int(self.data, key + 8, 8), _int(self.data, key + 16, 8), _int(self.data, key + 32, 8), _int(self.data, key, 4)))
-        return out
+        if v.index == NOWHERE:  # nothing was ever written
+            return
+        c = Cursor(self.data, v.index).sign(b"TREE\1", "index of chunks")
+        if c.uint(1):
+            raise Unsupported("an index of chunks that is deeper than a leaf")
+        count = c.uint(2)
+        c.take(16)
+        for _ in range(count):
+            size, skipped, row, column, _, at = struct.unpack("<IIQQQQ", c.take(40))
+            if skipped:
+                raise Unsupported("a chunk to which a filter was not applied")
+            yield row, column, at, size
 
     def raw(self, v: Variable, window: tuple[int, int, int, int] | None = None) -> np.ndarray:
         """Stored numbers of rows r0 to r1 and columns c0 to c1 (all by default); only chunks that meet them are inflated."""

@@ -91,3 +91,43 @@ def test_refusals():
     with pytest.raises(hdf5.Unsupported, match="inflate"):
         f = hdf5.File(data[:52] + b"\0\0\0" + data[55:])
         f.raw(f.variable("v"))
+
+
+def heap(objects, at, order):
+    """A fractal heap of one direct block and its index by name, at an address; order: record of an object's id."""
+    none, start = hdf5.NOWHERE, at + 142 + 4
+    block = b"FHDB\0" + struct.pack("<QI", at, 0)
+    ids = []
+    for o in objects:
+        ids.append(b"\0" + struct.pack("<IH", len(block), len(o)))
+        block += o + b"\0" * 3  # a gap, as a deleted object leaves it
+    head = b"FRHP\0" + struct.pack("<HHBI", 7, 0, 0, 4096) + struct.pack("<12Q", none, none, 0, none, 4096, 4096, 0, len(objects), 0, 0, 0, 0)
+    head += struct.pack("<HQQHHQH", 4, 4096, 65536, 32, 0, start, 0) + b"\0" * 4
+    tree = start + len(block)
+    records = [order(i) for i in ids]
+    size = len(records[0])
+    index = b"BTHD\0" + bytes([5]) + struct.pack("<IHHBBQHQ", 512, size, 0, 98, 40, tree + 38, len(records), len(records)) + b"\0" * 4
+    index += b"BTLF\0" + bytes([5]) + b"".join(records) + b"\0" * 4
+    return head + block + index, tree
+
+
+def test_links_and_attributes_of_a_heap():
+    a = np.arange(20, dtype="<i2").reshape(4, 5)
+    data = bytearray(build({"v": (a, {"scale_factor": 2.0})}))
+    old = hdf5.File(bytes(data)).names()["v"]
+    body = lambda m: m[4:]
+    links, link_tree = heap([body(link(n, old)) for n in ("v", "other", "x" * 40)], len(data), lambda i: b"hash" + i)
+    at = len(data)
+    data += links
+    kept, kept_tree = heap([body(attribute("track_offset", 998, "<i4")), body(attribute("b", 0.5))], len(data), lambda i: i + b"\0" * 10)
+    kept_at = len(data)
+    data += kept
+    data[36:44] = struct.pack("<Q", len(data))
+    data += header([message(2, bytes([0, 0]) + struct.pack("<QQ", at, link_tree)), message(21, bytes([0, 1, 0, 0]) + struct.pack("<QQ", kept_at, kept_tree))])
+    f = hdf5.File(bytes(data))
+    assert f.names() == {"v": old, "other": old, "x" * 40: old} and f.global_attributes() == {"track_offset": 998, "b": 0.5}
+    assert (f.values("v") == 2.0 * a).all()
+    deep = bytearray(data)
+    deep[link_tree + 12 : link_tree + 14] = b"\1\0"
+    with pytest.raises(hdf5.Unsupported, match="deeper"):
+        hdf5.File(bytes(deep)).names()
