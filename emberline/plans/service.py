@@ -28,8 +28,10 @@ def freshness(answers: DataFrame, touched: DataFrame, now: datetime, days: int,
     a grid, not each with each.
     """
     at = F.lit(now).cast("timestamp")
+    # of answers of one time, one that is to be made again counts
+    last_try = F.max(F.when(F.col("has"), F.struct("made", F.coalesce("retry", F.lit(True)).alias("retry"))))
     last = answers.groupBy("k").agg(
-        F.max(F.when(F.col("has"), F.col("made"))).alias("ka"), F.max_by("retry", F.when(F.col("has"), F.col("made"))).alias("kr"), F.max(F.when(~F.col("has"), F.col("made"))).alias("km"),
+        F.max(F.when(F.col("has"), F.col("made"))).alias("ka"), last_try["retry"].alias("kr"), F.max(F.when(~F.col("has"), F.col("made"))).alias("km"),
         *[F.first(c).alias(c) for c in ("w", "s", "e", "n", "t1")],
     )
     wide = F.lit(reach) / F.cos(F.radians(F.least(F.greatest(F.abs("s"), F.abs("n")), F.lit(85.0))))

@@ -115,8 +115,9 @@ def test_service_keeps_answers_while_fresh(spark, tmp_path):
     own.touch("another", now + timedelta(days=4), (1.1, 2.0, 1.1, 2.0))
     assert own.answer(text, now + timedelta(days=5)) == "answer 2"
     open_ = "FROM s3_sites(1, 2, 1.2, 2.1)"
-    assert own.answer(open_, now) == "answer 3" and own.answer(open_, now + timedelta(minutes=30)) == "answer 3"
-    assert own.answer(open_, now + timedelta(hours=2)) == "answer 4"
+    later = now + timedelta(days=6)  # after the touch of the box
+    assert own.answer(open_, later) == "answer 3" and own.answer(open_, later + timedelta(minutes=30)) == "answer 3"
+    assert own.answer(open_, later + timedelta(hours=2)) == "answer 4"
     with pytest.raises(PermissionError):
         own.answer("SELECT 1", now)
     with pytest.raises(ValueError, match="bbox"):
@@ -157,3 +158,11 @@ def test_stream_appends_each_scene_once(spark, tmp_path):
         stream = arrivals.once(spark.readStream.schema(schema).parquet(str(source)))
         arrivals.into_store(stream, where, str(tmp_path / "check"), ["tile", "t"]).awaitTermination()
         assert spark.read.parquet(where).count() == k + 1
+
+
+def test_of_answers_of_one_time_one_to_be_made_again_counts(spark):
+    now, made = datetime(2025, 1, 20), datetime(2025, 1, 10)
+    rows = [(k, made, retry, True, 1.0, 2.0, 1.2, 2.1, date(2025, 1, 1)) for k, tries in (("a", (False, True)), ("b", (True, False)), ("c", (False, False)), ("d", (None, False))) for retry in tries]
+    answers = spark.createDataFrame(rows, "k string, made timestamp, retry boolean, has boolean, w double, s double, e double, n double, t1 date")
+    touched = spark.createDataFrame([], "k string, made timestamp, x0 double, y0 double, x1 double, y1 double")
+    assert {r.k: r.fresh for r in service.freshness(answers, touched, now, 8).collect()} == {"a": False, "b": False, "c": True, "d": False}
