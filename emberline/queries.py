@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,25 +102,16 @@ def night_site_detections(spark, sf_dir):
 
 
 _SQUARES = "SELECT CAST(event_id % 60 AS INT) AS scene, CAST(DATE '2024-01-01' + CAST(event_id % 60 % 20 AS INT) AS DATE) AS date, CAST(user_id % 40 * 640 + 320 AS DOUBLE) AS x, CAST(event_id % 30 * 640 + 300 AS DOUBLE) AS y, min(CAST(event_id % 7 AS DOUBLE) / 7) AS cloud FROM events GROUP BY ALL"
-_SITES = "SELECT c_custkey AS site, CAST(c_custkey * 911 % 25600 AS DOUBLE) AS x, CAST(c_custkey * 577 % 19200 AS DOUBLE) AS y FROM customer WHERE c_custkey <= 300"
+_SITES = "SELECT c_custkey AS site, CAST(c_custkey * 911 % 25600 AS DOUBLE) AS x, CAST(c_custkey * 577 % 19200 AS DOUBLE) AS y FROM customer"
 
 
 @query(f"""SELECT site, date, round(min(cloud), 6) AS cloud FROM (SELECT site, scene, date, arg_min(cloud, ((q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y), q.x, q.y)) AS cloud
     FROM ({_SITES}) t JOIN ({_SQUARES}) q ON abs(q.x - t.x) <= 320 AND abs(q.y - t.y) <= 320 GROUP BY ALL) GROUP BY site, date""")
 def site_looks(spark, sf_dir):
-    return _looks(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey <= 300"))
-
-
-@query()
-def site_looks_whole(spark, sf_dir):
-    return _looks(spark, sf_dir, table(spark, sf_dir, "customer"))
-
-
-def _looks(spark, sf_dir, customers):
     squares = table(spark, sf_dir, "events").select(
         F.expr("cast(event_id % 60 as int) as scene"), F.expr("date_add(date '2024-01-01', cast(event_id % 60 % 20 as int)) as date"), F.expr("cast(user_id % 40 * 640 + 320 as double) as x"), F.expr("cast(event_id % 30 * 640 + 300 as double) as y"), F.expr("cast(event_id % 7 as double) / 7 as cloud"),
     ).groupBy("scene", "date", "x", "y").agg(F.min("cloud").alias("cloud"))
-    sites = customers.select(F.col("c_custkey").alias("site"), F.expr("cast(c_custkey * 911 % 25600 as double) as x"), F.expr("cast(c_custkey * 577 % 19200 as double) as y"))
+    sites = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site"), F.expr("cast(c_custkey * 911 % 25600 as double) as x"), F.expr("cast(c_custkey * 577 % 19200 as double) as y"))
     return rounded(linkage.square_under(sites, squares), "cloud")
 
 
@@ -134,7 +126,7 @@ def scenes_newest(spark, sf_dir):
 _IDS = "SELECT 'S2A_MSIL1C_' || lpad(CAST(t AS VARCHAR), 6, '0') || '01T000000_N0' || lpad(CAST(400 + o_orderkey % 100 AS VARCHAR), 3, '0') || '_' || lpad(CAST(o_orderkey AS VARCHAR), 15, '0') AS id, CAST(tile AS VARCHAR) AS tile, CAST(t AS VARCHAR) AS datetime FROM products"
 
 
-@query(with_fixtures(f"SELECT id, tile, datetime FROM ({_IDS}) QUALIFY row_number() OVER (PARTITION BY tile, datetime ORDER BY id[29:32] DESC, id[-15:] DESC) = 1", "products"))
+@query(with_fixtures(f"+named AS (SELECT *, substr(id, 29, 4) || right(id, 15) AS made FROM ({_IDS})), best AS (SELECT tile, datetime, max(made) AS made FROM named GROUP BY tile, datetime) SELECT id, tile, datetime FROM named SEMI JOIN best USING (tile, datetime, made)", "products"))
 def scenes_newest_by_name(spark, sf_dir):
     rows = fixture(spark, sf_dir, "products").selectExpr("concat('S2A_MSIL1C_', lpad(cast(t as string), 6, '0'), '01T000000_N0', lpad(cast(400 + o_orderkey % 100 as string), 3, '0'), '_', lpad(cast(o_orderkey as string), 15, '0')) as id", "cast(tile as string) as tile", "cast(t as string) as datetime")
     return scenes.newest_processing(rows)
@@ -144,7 +136,8 @@ def _granule_text(cat: str) -> str:
     return f"{cat}('S3', CASE WHEN platform = 0 THEN 'A' ELSE 'B' END, repeat('_', 13), lpad(CAST(t AS VARCHAR(9)), 15, '0'), repeat('_', 17), lpad(CAST(o_orderkey AS VARCHAR(19)), 15, '0'), repeat('_', 6), lpad(CAST(tile AS VARCHAR(9)), 7, '0'), repeat('_', 4), lpad(CAST(o_orderkey % 3 AS VARCHAR(9)), 3, '0'))"
 
 
-@query(with_fixtures(f"SELECT id FROM (SELECT {_granule_text('concat')} AS id FROM products) QUALIFY id[-3:] = max(id[-3:]) OVER (PARTITION BY id[1:3], id[70:76]) AND row_number() OVER (PARTITION BY id[1:3], id[17:31] ORDER BY id[49:63] DESC) = 1", "products"))
+@query(with_fixtures(f"""+g AS (SELECT id, left(id, 3) AS craft, substr(id, 17, 15) AS sensed, substr(id, 49, 15) AS made, substr(id, 70, 7) AS orbit, CAST(right(id, 3) AS INT) AS baseline FROM (SELECT {_granule_text('concat')} AS id FROM products)),
+    top AS (SELECT craft, orbit, max(baseline) AS baseline FROM g GROUP BY ALL), last AS (SELECT craft, sensed, max(made) AS made FROM g GROUP BY ALL) SELECT id FROM g SEMI JOIN top USING (craft, orbit, baseline) SEMI JOIN last USING (craft, sensed, made)""", "products"))
 def granules_newest_baseline(spark, sf_dir):
     return scenes.newest_granules(fixture(spark, sf_dir, "products").selectExpr(f"{_granule_text('concat')} as id"))
 
@@ -198,7 +191,7 @@ def hotspot_to_cell(spark, sf_dir):
 
 
 # a cell's squares: 100 of them, but for scenes divisible by 3 some are off the image, and scenes divisible by 4 have one share
-_SQUARE_ROWS = """SELECT c AS scene, k, CAST(CASE WHEN c % 4 = 0 THEN 0.25 ELSE (c * 7 + k * 13) % 11 / 11.0 END AS DOUBLE) AS cloud FROM (SELECT c_custkey AS c FROM customer WHERE c_custkey <= 100), (SELECT unnest(range(100)) AS k) WHERE NOT (c % 3 = 0 AND k % 7 = 0)"""
+_SQUARE_ROWS = """SELECT c AS scene, k, CAST(CASE WHEN c % 4 = 0 THEN 0.25 ELSE (c * 7 + k * 13) % 11 / 11.0 END AS DOUBLE) AS cloud FROM (SELECT c_custkey AS c FROM customer), (SELECT unnest(range(100)) AS k) WHERE NOT (c % 3 = 0 AND k % 7 = 0)"""
 
 
 def _square_rows(customers):
@@ -214,32 +207,14 @@ def _square_rows(customers):
 
 @query(f"SELECT scene, round(avg(cloud), 6) AS cloud, CASE WHEN count(*) = 100 AND min(cloud) = max(cloud) THEN NULL ELSE count(*) END AS kept, CASE WHEN count(*) = 100 AND min(cloud) = max(cloud) THEN NULL ELSE round(sum(round(cloud, 3)), 6) END AS total FROM ({_SQUARE_ROWS}) GROUP BY scene")
 def squares_pack(spark, sf_dir):
-    return _packs(table(spark, sf_dir, "customer").where("c_custkey <= 100"))
-
-
-@query()
-def squares_pack_whole(spark, sf_dir):
-    return _packs(table(spark, sf_dir, "customer"))
-
-
-def _packs(customers):
-    packs, _ = _square_rows(customers)
+    packs, _ = _square_rows(table(spark, sf_dir, "customer"))
     have = F.array_compact("packed")
     return packs.select("scene", F.round("cloud", 6).alias("cloud"), F.when(F.col("packed").isNotNull(), F.size(have).cast("long")).alias("kept"), F.round(F.aggregate(have, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query(f"SELECT scene, CAST(300330 + 640 * (30 + k % 10) AS DOUBLE) AS x, CAST(4199710 - 640 * (50 + k // 10) AS DOUBLE) AS y, round(cloud, 3) AS cloud FROM ({_SQUARE_ROWS})")
 def squares_unpack(spark, sf_dir):
-    return _unpacks(table(spark, sf_dir, "customer").where("c_custkey <= 100"))
-
-
-@query()
-def squares_unpack_whole(spark, sf_dir):
-    return _unpacks(table(spark, sf_dir, "customer"))
-
-
-def _unpacks(customers):
-    packs, at = _square_rows(customers)
+    packs, at = _square_rows(table(spark, sf_dir, "customer"))
     out = packs.select("scene", F.inline(store.unpacked(F.col("packed"), *at, F.col("cloud"))))
     return rounded(out, "cloud", places=3)
 
@@ -281,9 +256,9 @@ _KEPT = """SELECT o_custkey AS k, o_orderdate AS made, o_orderstatus = 'F' AS re
 _TOUCHES = "SELECT c_custkey AS k, TIMESTAMP '1995-01-01' + CAST(c_custkey * 3 % 2400 AS INT) * INTERVAL 1 DAY AS made, CAST(c_custkey * 7 % 61 AS DOUBLE) + 0.5 AS x0, CAST(c_custkey * 11 % 41 AS DOUBLE) + 0.5 AS y0 FROM customer"
 
 
-@query(f"""WITH kept AS (SELECT k, max(made) FILTER (has) AS ka, arg_max(retry, made) FILTER (has) AS kr, max(made) FILTER (NOT has) AS km, first(w) AS w, first(s) AS s, first(w) + 0.4 AS e, first(s) + 0.25 AS n FROM ({_KEPT}) GROUP BY k),
-    met AS (SELECT kept.k, max(t.made) AS touch FROM kept JOIN (SELECT *, x0 + 0.2 AS x1, y0 + 0.2 AS y1 FROM ({_TOUCHES})) t ON t.k <> kept.k AND t.y0 <= n + 0.1 AND t.y1 >= s - 0.1
-        AND t.x0 <= e + 0.1 / cos(radians(least(greatest(abs(s), abs(n)), 85))) AND t.x1 >= w - 0.1 / cos(radians(least(greatest(abs(s), abs(n)), 85))) GROUP BY kept.k)
+@query(f"""WITH kept AS (SELECT k, max(made) FILTER (has) AS ka, max(CAST(made AS VARCHAR) || CASE WHEN retry THEN ' y' ELSE ' n' END) FILTER (has) LIKE '%y' AS kr, max(made) FILTER (NOT has) AS km, first(w) AS w, first(s) AS s, first(w) + 0.4 AS e, first(s) + 0.25 AS n FROM ({_KEPT}) GROUP BY k),
+    met AS (SELECT kept.k, max(t.made) AS touch FROM kept JOIN ({_TOUCHES}) t ON t.k <> kept.k
+        AND greatest(s - (t.y0 + 0.2), t.y0 - n) <= 0.1 AND greatest(w - (t.x0 + 0.2), t.x0 - e) * cos(radians(least(greatest(abs(s), abs(n)), 85))) <= 0.1 GROUP BY kept.k)
     SELECT k, coalesce(coalesce(ka > touch, ka IS NOT NULL) AND (NOT coalesce(kr, true) OR ka > TIMESTAMP '2001-09-01' - INTERVAL 1 HOUR), false) OR coalesce(km > ka AND km > TIMESTAMP '2001-09-01' - INTERVAL 2 MINUTE, false) AS fresh FROM kept LEFT JOIN met USING (k)""")
 def answer_fresh(spark, sf_dir):
     kept = table(spark, sf_dir, "orders").selectExpr("o_custkey as k", "o_orderdate as made", "o_orderstatus = 'F' as retry", "o_orderkey % 9 <> 0 as has", "cast(o_custkey % 60 as double) as w", "cast(o_custkey % 40 as double) as s")
@@ -294,21 +269,11 @@ def answer_fresh(spark, sf_dir):
 
 
 @query("""SELECT square, min(day) AS first, max(day) AS last FROM (SELECT o_custkey % 50 AS square, CAST(day AS DATE) AS day, datediff('day', DATE '1996-01-01', CAST(day AS DATE)) // 30 AS b
-    FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey < 51), generate_series(DATE '1996-01-01', DATE '1996-06-30', INTERVAL 1 DAY) g(day)) w
+    FROM (SELECT DISTINCT o_custkey % 50 AS o_custkey FROM orders), generate_series(DATE '1996-01-01', DATE '1996-06-30', INTERVAL 1 DAY) g(day)) w
     WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey % 50 = w.square AND CAST(o.o_orderdate AS DATE) = w.day) GROUP BY square, b""")
 def search_gaps(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return _gaps(orders, orders.where("o_custkey < 51"))
-
-
-@query()
-def search_gaps_whole(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    return _gaps(orders, orders)
-
-
-def _gaps(orders, asked):
-    wanted = asked.selectExpr("o_custkey % 50 as square").distinct()
+    wanted = orders.selectExpr("o_custkey % 50 as square").distinct()
     done = orders.selectExpr("o_custkey % 50 as square", "cast(o_orderdate as date) as day")
     return store.search_gaps(wanted, done, "1996-01-01", "1996-06-30")
 
@@ -576,17 +541,36 @@ _CALL = r"^FROM (s[23]_hotspots|s[23]_sites)\(([-0-9.]+), ?([-0-9.]+), ?([-0-9.]
 _CALLS = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'FROM s2_hotspots(' WHEN 1 THEN 'FROM s3_sites(' WHEN 2 THEN 'SELECT s2_hotspots(' ELSE 'FROM s3_hotspots(' END || (event_id % 180) || ', ' || (user_id % 80) || ',' || (event_id % 180 + 1) || ', ' || (user_id % 80 + 1) || CASE event_id % 3 WHEN 0 THEN ', ''2024-01-01'', ''..''' WHEN 1 THEN '' ELSE ', ''x''' END || ')' AS q FROM events"
 
 
-@query(f"SELECT event_id, regexp_extract(q, '{_CALL}', 1) AS f, regexp_extract(q, '{_CALL}', 2) AS w, regexp_extract(q, '{_CALL}', 6) AS a FROM ({_CALLS})")
+_TODAY = date(2024, 6, 1)
+
+
+def _each(rows: DataFrame, column: str, read: Callable, schema: str) -> DataFrame:
+    """event_id and what a function makes of each text, in Arrow batches."""
+
+    def run(frames):
+        for frame in frames:
+            made = [(k, *found) for k, text in zip(frame["event_id"], frame[column], strict=True) if (found := read(text)) is not None]
+            yield pd.DataFrame(made, columns=["event_id", *(f.split()[0] for f in schema.split(", "))])
+
+    return rows.select("event_id", column).mapInPandas(run, f"event_id long, {schema}")
+
+
+@query(f"""SELECT event_id, f, w, coalesce(TRY_CAST(nullif(a, '..') AS DATE), DATE '2024-03-03') AS a, coalesce(TRY_CAST(nullif(b, '..') AS DATE), DATE '2024-06-01') AS b
+    FROM (SELECT event_id, {", ".join(f"regexp_extract(q, '{_CALL}', {k}) AS {n}" for k, n in ((1, "f"), (2, "w"), (6, "a"), (7, "b")))} FROM ({_CALLS})) WHERE f <> ''""")
 def call_grammar(spark, sf_dir):
     rows = spark.sql(_CALLS.replace("FROM events", "FROM {events}").replace("''2024-01-01''", "\\'2024-01-01\\'").replace("''..''", "\\'..\\'").replace("''x''", "\\'x\\'"), events=table(spark, sf_dir, "events"))
-    pattern = _CALL.replace("''", "'")
-    return rows.select("event_id", *[F.regexp_extract("q", pattern, k).alias(n) for k, n in ((1, "f"), (2, "w"), (6, "a"))])
+
+    def read(text):
+        call = params.read_call(text, _TODAY)
+        return call and (call.function, call.written[0], call.start, call.end)
+
+    return _each(rows, "q", read, "f string, w string, a date, b date")
 
 
-@query("SELECT event_id, coalesce(TRY_CAST(nullif(x, '..') AS DATE), DATE '2024-02-01') AS day FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '..' WHEN 1 THEN strftime(ts, '%Y-%m-%d') ELSE '2024-99-99' END AS x FROM events)")
+@query("SELECT event_id, coalesce(TRY_CAST(nullif(x, '..') AS DATE), DATE '2024-02-01') AS day FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '..' WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN '2024-99-99' END AS x FROM events)")
 def day_window(spark, sf_dir):
-    text = F.expr("case event_id % 3 when 0 then '..' when 1 then date_format(ts, 'yyyy-MM-dd') else '2024-99-99' end")
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.nullif(text, F.lit("..")).try_cast("date"), F.lit("2024-02-01").cast("date")).alias("day"))
+    text = F.expr("case event_id % 4 when 0 then '..' when 1 then date_format(ts, 'yyyy-MM-dd') when 2 then '2024-99-99' end").alias("x")
+    return _each(table(spark, sf_dir, "events").select("event_id", text), "x", lambda t: (params.window_end(t, date(2024, 2, 1)),), "day date")
 
 
 _RANGES = "SELECT l_suppkey % 40 AS f, l_orderkey * 100 AS a, l_orderkey * 100 + CAST(l_quantity AS BIGINT) * 20 AS b FROM lineitem"
@@ -604,9 +588,21 @@ def seeds(spark, sf_dir):
     return catalogue.seeds(fixture(spark, sf_dir, "points"))
 
 
-@query("SELECT page_id, coalesce(regexp_extract(url, 'https?://([^/]+)/', 1), '') AS host FROM pages")
-def listing_extract(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "https?://([^/]+)/", 1).alias("host"))
+# listing lines of products: of a third the store has the scene, every fifth is no product, and baselines run from 02.00 to 11.99
+_PRODUCT = "concat('S2', CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END, '_MSIL1C_2024', lpad(CAST(o_orderkey % 1231 AS VARCHAR(9)), 4, '0'), 'T101031_N', lpad(CAST(200 + o_orderkey % 1000 AS VARCHAR(9)), 4, '0'), '_R022_T', lpad(CAST(o_custkey % 60 AS VARCHAR(9)), 2, '0'), 'UQC_', lpad(CAST(o_orderkey AS VARCHAR(19)), 15, '0'))"
+
+
+@query(f"SELECT p AS scene, lpad(CAST(k % 60 AS VARCHAR), 2, '0') || 'UQC' AS tile, split(p, '_')[3] AS t FROM (SELECT DISTINCT {_PRODUCT} AS p, o_custkey AS k, 200 + o_orderkey % 1000 AS baseline FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0) WHERE baseline BETWEEN 400 AND 999")
+def listed_products(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_PRODUCT} as p")
+    lines = orders.selectExpr("concat('<Prefix>', if(o_orderkey % 5 = 0, 'Sentinel-2', p), '.SAFE/</Prefix>') as value")
+    return catalogue.listed_products(lines, orders.where("o_orderkey % 3 = 0").selectExpr("p as scene"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'L1C_T' || page_id || '_A1' WHEN 1 THEN '' ELSE 'L1C_' || page_id END AS granule FROM pages")
+def granule_folder(spark, sf_dir):
+    text = F.expr("concat('x.SAFE/', case page_id % 3 when 0 then concat('GRANULE/L1C_T', page_id, '_A1/IMG') when 1 then concat('GRANULE/L2A_', page_id, '/') else concat('/GRANULE/L1C_', page_id, '/') end)")
+    return table(spark, sf_dir, "pages").select("page_id", catalogue.granule_name(text).alias("granule"))
 
 
 @query()

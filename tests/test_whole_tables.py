@@ -1,4 +1,4 @@
-"""Queries over whole tables that have no SQL, against brute force on small tables with ids past the prefixes of the queries with SQL."""
+"""Queries over whole tables, against brute force on small tables."""
 
 import datetime as dt
 
@@ -32,7 +32,7 @@ def test_looks_of_all_sites(spark, tables):
                 near[scene, day] = min(near.get((scene, day), here), here)
         for (_, day), best in near.items():
             want[c, day] = min(want.get((c, day), 9), round(best[3], 6))
-    got = base.queries()["site_looks_whole"](spark, tables).collect()
+    got = base.queries()["site_looks"](spark, tables).collect()
     assert {(r.site, r.date): r.cloud for r in got} == want and len(got) == len(want) and max(c for c, _ in want) > 300
 
 
@@ -41,14 +41,14 @@ def shares(c):
 
 
 def test_squares_of_all_scenes(spark, tables):
-    packs = {r.scene: r for r in base.queries()["squares_pack_whole"](spark, tables).collect()}
+    packs = {r.scene: r for r in base.queries()["squares_pack"](spark, tables).collect()}
     assert packs.keys() == set(range(1, 341))
     for c, r in packs.items():
         have = shares(c)
         flat = len(have) == 100 and len(set(have.values())) == 1
         assert r.cloud == pytest.approx(sum(have.values()) / len(have), abs=2e-6) and r.kept == (None if flat else len(have))
         assert flat or r.total == pytest.approx(sum(round(v, 3) for v in have.values()), abs=2e-6)
-    rows = base.queries()["squares_unpack_whole"](spark, tables).collect()
+    rows = base.queries()["squares_unpack"](spark, tables).collect()
     want = {(c, 300330 + 640 * (30 + k % 10), 4199710 - 640 * (50 + k // 10)): round(v, 3) for c in range(1, 341) for k, v in shares(c).items()}
     assert {(r.scene, r.x, r.y): r.cloud for r in rows} == want and len(rows) == len(want)
 
@@ -60,5 +60,5 @@ def test_gaps_of_all_squares(spark, tables):
         for day in range(182):
             if (square, day) not in done:
                 want.setdefault((square, day // 30), []).append(start + dt.timedelta(day))
-    got = sorted((r.square, r.first, r.last) for r in base.queries()["search_gaps_whole"](spark, tables).collect())
+    got = sorted((r.square, r.first, r.last) for r in base.queries()["search_gaps"](spark, tables).collect())
     assert got == sorted((s, days[0], days[-1]) for (s, _), days in want.items())
