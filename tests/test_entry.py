@@ -30,6 +30,14 @@ def test_the_rest_imports_without_the_corpus_part(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
 
 
+@pytest.mark.parametrize("lost, kept", [("corpus_pipeline", "op"), ("public_tokenizers", "")])
+def test_what_is_not_installed_is_left_out_alone(lost, kept):
+    if not os.path.isdir(f"{ROOT}/emberline/llm") or not os.path.exists(f"{ROOT}/corpus_pipeline.py"):
+        pytest.skip("the corpus part is not here")
+    code = f"import sys; sys.modules['{lost}'] = None; import __spark_entry__ as e; q = e.queries(); assert 'site_linkage' in q and 'pipeline' not in q and any(n.startswith('op') for n in q) == bool('{kept}')"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, check=True)
+
+
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 5) + 0.0
