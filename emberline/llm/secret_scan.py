@@ -4,14 +4,16 @@ A vocabulary learnt from prose has long tokens for what people write and short
 ones for random characters. A long run of key characters with few characters
 per token is therefore a random string; where names or path parts beside it
 hide that, so is a part of the run. Digests and identifiers are random too
-but no secrets, so runs that are known digests, digest-shaped or UUIDs are left
-out, as are plain numbers.
+but no secrets: left out are digests that are known (of nothing, or given),
+digests that the text calls so ("sha1:", "commit"), UUIDs and plain numbers. All
+else is decided by the ratio.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 
 import pyarrow as pa
@@ -29,6 +31,10 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Parts of a run: values of names, then path parts, then words with dashes or underscores between.
 _PARTS = (re.compile(r"[^=]+"), re.compile(r"[^=/]+"), re.compile(r"[^=/_-]+"))
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE | re.ASCII)
+#: What stands before a digest that the text calls one.
+_CALLED = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512)|digest|checksum|commit|revision|etag|integrity)[\"']?[\x20:=\"'(-]{1,4}\Z", re.IGNORECASE | re.ASCII)
+#: Digests of nothing at all, which stand wherever a file was empty.
+NOTHING = tuple(hashlib.new(name).hexdigest() for name in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"))
 #: Hex digits of common digests: 128, 160, 224, 256, 384 and 512 bits.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE | re.ASCII)
 
@@ -49,24 +55,21 @@ class Scanner:
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.most_ratio, self.known = most_ratio, known
 
-    def is_plain(self, run: str) -> bool:
-        """Too short, a number, a digest or an identifier, as a whole."""
+    def is_plain(self, text: str, start: int, end: int) -> bool:
+        """Too short, a number, a known digest or an identifier, as a whole."""
+        run = text[start:end]
         plain = run.strip("=-_./+")
-        return bool(len(plain) < 20 or plain.isdigit() or plain.lower() in self.known or _DIGEST.fullmatch(plain) or _UUID.fullmatch(plain))
+        if len(plain) < 20 or plain.isdigit() or plain.lower() in self.known or _UUID.fullmatch(plain):
+            return True
+        return bool(_DIGEST.fullmatch(plain) and _CALLED.search(text, max(0, start - 24), start + run.index(plain)))
 
     def is_random(self, run: str) -> bool:
-        plain = run.strip("=-_./+")
-        if self.is_plain(run):
-            return False
-        # words with dashes between, paths and table rules are no single string
-        if not re.search(r"[0-9]", plain) or not re.search(r"[A-Za-z]", plain):
-            return False
         return len(run) <= self.most_ratio * len(self.bpe.encode_ordinary(run))
 
     def random_spans(self, text: str, start: int, end: int, level: int = 0) -> list[tuple[int, str, int]]:
         """A run that is random as a whole, else those of its parts between the signs of the next level that are."""
         run = text[start:end]
-        if self.is_plain(run):
+        if self.is_plain(text, start, end):
             return []
         if self.is_random(run):
             return [(start, "random", end)]
@@ -88,7 +91,7 @@ def _scanner(*args) -> Scanner:
     return Scanner(*args)
 
 
-def scan(documents: DataFrame, ranks_path: str, pattern: str, most_ratio: float = 2.0, known_digests: tuple[str, ...] = (), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(documents: DataFrame, ranks_path: str, pattern: str, most_ratio: float = 2.0, known_digests: tuple[str, ...] = NOTHING, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: the id column and spans, an array of (start, kind, end).
 
     Offsets count code points, the end exclusive. `most_ratio` is the largest

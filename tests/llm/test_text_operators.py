@@ -149,7 +149,7 @@ def test_training_texts_are_whole(spark):
 
 def test_random_parts_of_runs():
     rng = random.Random(3)
-    scanner = secret_scan._scanner(queries.RANKS, queries.PATTERN, 2.0, frozenset())
+    scanner = secret_scan._scanner(queries.RANKS, queries.PATTERN, 2.0, frozenset(secret_scan.NOTHING))
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     for before in ("/internal/production/configuration/service/credentials/", "deployment_authorization_credential="):
         for n in (24, 40):
@@ -163,6 +163,36 @@ def test_random_parts_of_runs():
         assert not [s for s in scanner.spans(text) if s[1] == "random"]
 
 
+def test_precision_and_recall_of_random_spans():
+    """Planted random strings of several alphabets, among words, names, paths, identifiers and digests that are known or called so."""
+    rng = random.Random(8)
+    scanner = secret_scan._scanner(queries.RANKS, queries.PATTERN, 2.0, frozenset(secret_scan.NOTHING))
+    syllables = ["an", "th", "er", "schaf", "heit", "lich", "que", "eau", "tion", "ing", "ver", "ouan"]
+    names = ["getResponseCodeFromServerConnection", "MAX_CONNECTIONS_PER_HOST_AND_USER", "/usr/share/documentation/packages/readme", "internationalization-and-localization", "test_case_variant_number_two"]
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    found = wrong = clean = 0
+    kinds = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
+    for k in range(400):
+        secret = "".join(rng.choice(kinds[k % 4]) for _ in range(rng.choice((24, 32, 40, 64))))
+        others = ["".join(rng.choice(syllables) for _ in range(9)), rng.choice(names), rng.choice(secret_scan.NOTHING), f"sha256: {hexed(64)}", f"commit {hexed(40)}", f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}", str(rng.getrandbits(90))]
+        rng.shuffle(others)
+        text = " ".join([*others[:4], f"value {secret} and", *others[4:]])
+        at = text.index(secret)
+        spans = [s for s in scanner.spans(text) if s[1] == "random"]
+        hit = [s for s in spans if s[0] < at + len(secret) and s[2] > at]
+        found += bool(hit)
+        wrong += len(spans) - len(hit)
+        clean += len(others)
+    assert found >= 380 and wrong <= 0.002 * clean, (found, wrong, clean)
+
+
+def test_random_strings_of_the_tables_are_found(spark):
+    """The ratio decides on the tables' own random strings, which look like digests but are called tokens."""
+    rows = spark.createDataFrame([(1, 'erti token = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72" the'), (2, "neinerheit\u00fc einschachch\u00df chpfheitschverheiten den"), (3, "le les queelleaiierelletion la")], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.kind) for s in r.spans] for r in secret_scan.scan(rows, queries.RANKS, queries.PATTERN).collect()}
+    assert (14, "random") in got[1] and not got[2] and not got[3]
+
+
 def test_secret_spans(spark):
     texts = SECRETS + [t for t in ODD]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
