@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm import queries as q
-from emberline.llm.common import stored, table
+from emberline.llm.common import discard, quoted, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents fill the budgets of the tree; each is taken once at most, as repeats would undo the stages before."""
-    return q.mixed(docs, share=0.9, epochs=1).select(*docs.columns)
+    return q.mixed(docs, share=0.9, epochs=1).select(*map(quoted, docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{name}")
+            before, docs = docs, stored(docs, f"stage-{name}")
+            discard(before)
     return docs

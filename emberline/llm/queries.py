@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, audio, chat, line_dedup, mixing, packing, quality, secret_scan, simhash, toxicity
-from .common import F, table
+from .common import F, fresh_name, quoted, table
 from .oracles import SQL
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,11 +52,15 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(documents: DataFrame, share: float, epochs: int) -> DataFrame:
-    return mixing.mix(documents.withColumn("domain", F.expr(DOMAIN)), ["domain", "lang", "source"], WEIGHTS, share, epochs=epochs)
+    """The documents' own columns, and last domain, epoch and tokens, under other names where the documents have these."""
+    domain = fresh_name(documents.columns, "domain")
+    return mixing.mix(documents.withColumn(domain, F.expr(DOMAIN)), [domain, "lang", "source"], WEIGHTS, share, epochs=epochs)
 
 
 def op6_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"), share=0.6, epochs=2).select("doc_id", "domain", "lang", "source", "epoch", "tokens")
+    out = mixed(table(spark, sf_dir, "documents"), share=0.6, epochs=2)
+    domain, epoch, tokens = (F.col(quoted(c)).alias(name) for c, name in zip(out.columns[-3:], ("domain", "epoch", "tokens"), strict=True))
+    return out.select("doc_id", domain, "lang", "source", epoch, tokens)
 
 
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

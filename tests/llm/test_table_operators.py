@@ -266,6 +266,19 @@ def test_mixture_takes_seeded_prefixes(spark):
     assert mixing.mix(docs.where("false"), ["lang", "source"], [{}, {}], 0.5).count() == 0
 
 
+def test_mixture_keeps_columns_of_the_same_names(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "w" * 40 * (k % 5), "en", f"src{k % 12}") for k in range(200)], "doc_id long, text string, lang string, source string")
+    mine = docs.withColumns({"domain": F.lit("mine"), "tokens": F.lit("t"), "epoch": F.lit("e")})
+    for name, frame in (("plain", docs), ("mine", mine)):
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+    got = [queries.op6_hierarchical_mixture(spark, str(tmp_path / name)) for name in ("plain", "mine")]
+    assert got[0].columns == got[1].columns == ["doc_id", "domain", "lang", "source", "epoch", "tokens"]
+    rows = [sorted(map(tuple, g.collect())) for g in got]
+    assert rows[0] == rows[1] and rows[0]
+    kept = corpus_pipeline.mixture(spark, mine, "")
+    assert kept.columns == mine.columns and {(r.domain, r.tokens, r.epoch) for r in kept.collect()} == {("mine", "t", "e")}
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     docs = spark.createDataFrame(
         [(k, ("Good plain words stand here, one after another, number %d of many. " % (k % 90)) * (1 + k % 3) if k % 5 else "BAD!! " * 40, "en", f"src{k % 4}", 1) for k in range(300)], "doc_id long, text string, lang string, source string, n_chars long"
