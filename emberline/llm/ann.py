@@ -4,11 +4,14 @@ Each tree gives a vector a long bit string, the signs of its products with
 random directions, and keeps the strings as one sorted array. A query descends
 in all trees at once to the longest prefixes that match, then ascends level by
 level in step, and takes at each level what the arrays hold under the shorter
-prefix, until it has met enough candidates. Candidates are scored exactly.
+prefix, until it has met enough entries. What it has met is scored exactly.
 
 Inner products become angles by one more coordinate that gives all vectors the
 largest norm. Vectors are dealt into shards of bounded size, each with a forest
-of its own; queries go to the shards in blocks.
+of its own. A task reads a shard's vectors, builds the forest once and streams
+a block of queries through it. The number of entries a query meets is fixed, so
+the share of a shard that is scored falls with its size; shards are as large as
+a task's memory allows for that reason.
 """
 
 from __future__ import annotations
@@ -21,94 +24,101 @@ from pyspark.sql import DataFrame, Window
 
 from .common import F, quoted, stored
 
-BITS = 64
-SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
+BITS, TREES = 32, 256
+#: Vectors of a shard and entries of its trees that a query meets. Over 64 independent dimensions, the hardest
+#: case, this finds 0.93 of the 20 nearest among 51,282 rows and scores 0.2 of them.
+SHARD_ROWS, ENTRIES = 65_536, 12_000
+#: Queries that share a forest; building it takes under a hundredth of their time.
+BLOCK_ROWS = 131_072
 
 
 @functools.cache
 def directions(dim: int, trees: int, seed: int = 3) -> np.ndarray:
-    """trees x dim x BITS; within a tree the directions are orthogonal, as far as there are dimensions."""
+    """dim x (trees * BITS); within a tree the directions are orthogonal, as far as there are dimensions."""
     rng = np.random.default_rng(seed)
-    out = np.empty((trees, dim, BITS), np.float32)
+    out = np.empty((dim, trees, BITS), np.float32)
     for t in range(trees):
         blocks = [np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-BITS // dim))]
-        out[t] = np.concatenate(blocks, axis=1)[:, :BITS]
+        out[:, t] = np.concatenate(blocks, axis=1)[:, :BITS]
+    return out.reshape(dim, trees * BITS)
+
+
+def strings(x: np.ndarray, trees: int) -> np.ndarray:
+    """trees x rows: the bit string of each row in each tree as an unsigned integer, first bit highest."""
+    planes, out = directions(x.shape[1], trees), np.empty((trees, len(x)), np.uint32)
+    x = x.astype(np.float32)
+    for t in range(0, trees, 16):
+        for a in range(0, len(x), 8192):
+            signs = (x[a : a + 8192] @ planes[:, t * BITS : (t + 16) * BITS] > 0).reshape(min(8192, len(x) - a), -1, BITS)
+            out[t : t + 16, a : a + 8192] = np.packbits(signs, axis=2).view(">u4")[:, :, 0].T
     return out
 
 
-def strings(x: np.ndarray, plane: np.ndarray) -> np.ndarray:
-    """The bit string of each row as an unsigned integer, first bit highest."""
-    bits = np.packbits(x.astype(np.float32) @ plane > 0, axis=1)
-    return bits.view(">u8").ravel().astype(np.uint64)
-
-
 class Forest:
-    def __init__(self, x: np.ndarray, extra: np.ndarray, trees: int):
-        """x: rows x dim in double; extra: the additional coordinate of each row."""
-        self.x, self.trees = x, trees
-        self.planes = directions(x.shape[1] + 1, trees)
-        full = np.concatenate([x, extra[:, None]], axis=1)
-        self.order, self.sorted = [], []
-        for t in range(trees):
-            h = strings(full, self.planes[t])
-            order = np.argsort(h, kind="stable")
-            self.order.append(order)
-            self.sorted.append(h[order])
+    """ids ascending, x: rows x dim in double, extra: the additional coordinate of each row."""
 
-    def candidates(self, queries: np.ndarray, least: int):
-        """Yields the rows (a boolean mask) that each query meets on its way up, until it has met `least` entries of the trees."""
-        full = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
-        h = np.stack([strings(full, p) for p in self.planes])
-        n, rows = len(queries), len(self.x)
-        low, high = np.zeros((self.trees, n), np.int64), np.full((self.trees, n), rows)
-        depth = np.full(n, 0)  # the level at which the ascent ends
-        a, b = np.zeros(n, np.int64), np.full(n, BITS)  # bisection over levels: entries met fall with depth
-        for _ in range(7):
-            middle = (a + b + 1) // 2
-            lo, hi = self._ranges(h, middle)
-            enough = (hi - lo).sum(axis=0) >= least
-            a, b = np.where(enough, middle, a), np.where(enough, b, middle - 1)
-            depth = a
-        low, high = self._ranges(h, depth)
-        for q in range(n):
-            mask = np.zeros(rows, bool)
-            for t in range(self.trees):
-                mask[self.order[t][low[t, q] : high[t, q]]] = True
-            yield mask
+    def __init__(self, ids: np.ndarray, x: np.ndarray, extra: np.ndarray, trees: int = TREES):
+        self.ids, self.x, self.rough, self.trees = ids, x, x.astype(np.float32), trees
+        self.size = float(np.abs(x).max(initial=0)) * x.shape[1]
+        h = strings(np.concatenate([x, extra[:, None]], axis=1), trees)
+        self.order, self.sorted = np.empty(h.shape, np.int32), np.empty(h.shape, np.uint32)
+        for t in range(trees):
+            self.order[t] = np.argsort(h[t], kind="stable")
+            self.sorted[t] = h[t][self.order[t]]
 
     def _ranges(self, h: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each query's prefix of the given length begins and ends in each tree."""
-        below = np.where(depth >= 64, np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF) >> np.minimum(depth, 63).astype(np.uint64))
+        below = np.where(depth >= BITS, np.uint64(0), np.uint64(0xFFFFFFFF) >> depth.astype(np.uint64)).astype(np.uint32)
         lo, hi = np.empty(h.shape, np.int64), np.empty(h.shape, np.int64)
         for t in range(self.trees):
             lo[t] = np.searchsorted(self.sorted[t], h[t] & ~below, "left")
             hi[t] = np.searchsorted(self.sorted[t], h[t] | below, "right")
         return lo, hi
 
-
-def best(forest: Forest, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, share: float):
-    """(query_id, vec_id, score) of the k best candidates of each query, ties to the smaller id; ids in ascending order."""
-    least = int(np.ceil(share * len(ids)))
-    found = []
-    for q, mask in enumerate(forest.candidates(queries, max(least, 4 * k))):
-        rows = np.flatnonzero(mask)
-        rough = forest.x[rows] @ queries[q]
-        if len(rows) > k + 1:  # a bound for the (k + 1)-th best, as the query itself may be among them
-            rows = rows[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - 1e-9 * (1 + np.abs(rough).max())]
-        exact = (forest.x[rows] * queries[q]).sum(axis=1)  # summed in the same way wherever the row stands
-        other = ids[rows] != query_ids[q]
-        rows, exact = rows[other], exact[other]
-        top = np.lexsort((ids[rows], -exact))[:k]
-        found.append((np.full(len(top), query_ids[q]), ids[rows[top]], exact[top]))
-    return [np.concatenate(c) for c in zip(*found, strict=True)]
-
-
-def search(vectors: DataFrame, query_step: int = 20, k: int = 20, trees: int = 64, share: float = 0.9, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    def candidates(self, queries: np.ndarray, least: int):
+        """Yields the rows that each query meets on its way up, until it has met `least` entries of the trees."""
+        h = strings(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1), self.trees)
+        # the level at which the ascent ends: the longest prefix with enough entries, by bisection, as they fall with depth
+        a, b = np.zeros(len(queries), np.int64), np.full(len(queries), BITS)
+        for _ in range(BITS.bit_length()):
+            middle = (a + b + 1) // 2
+            lo, hi = self._ranges(h, middle)
+            enough = (hi - lo).sum(axis=0) >= least
+            a, b = np.where(enough, middle, a), np.where(enough, b, middle - 1)
+        lo, hi = self._ranges(h, a)
+        flat, first = self.order.ravel(), np.arange(self.trees) * len(self.x)
+        for q in range(len(queries)):
+            n = hi[:, q] - lo[:, q]
+            ends = np.cumsum(n)
+            met = np.zeros(len(self.x), bool)
+            met[flat[np.arange(ends[-1]) + np.repeat(first + lo[:, q] - ends + n, n)]] = True
+            yield np.flatnonzero(met)
+
+    def best(self, queries: np.ndarray, query_ids: np.ndarray, k: int, entries: int):
+        """(query_id, vec_id, score) of the k best candidates of each query, ties to the smaller id."""
+        found = []
+        for q, rows in enumerate(self.candidates(queries, max(entries, 4 * k))):
+            if len(rows) > k + 1:  # single precision tells which cannot be among the best, the query itself left aside
+                rough = self.rough[rows] @ queries[q].astype(np.float32)
+                slack = 1e-5 * (1 + self.size * float(np.abs(queries[q]).max()))
+                rows = rows[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - slack]
+            exact = (self.x[rows] * queries[q]).sum(axis=1)  # summed in the same way wherever the row stands
+            other = self.ids[rows] != query_ids[q]
+            rows, exact = rows[other], exact[other]
+            top = np.lexsort((self.ids[rows], -exact))[:k]
+            found.append((np.full(len(top), query_ids[q]), self.ids[rows[top]], exact[top]))
+        return [np.concatenate(c) for c in zip(*found, strict=True)]
+
+
+def _numbers(n: int):
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
+def search(vectors: DataFrame, query_step: int = 20, k: int = 20, trees: int = TREES, entries: int = ENTRIES, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by `query_step`, the k nearest of the others found.
 
-    `share` is how many entries of the trees a query meets before it stops, per
-    row of the shard: with it the recall against brute force is over 0.9 at any
-    size, since each shard is of bounded size. Vectors that are null, zero, hold
+    `entries` is how many entries of a shard's trees a query meets before it stops.
+    Vectors that are null, zero, hold
     null or non-finite components, or are not as long as most, take no part, nor
     do rows with a null id. Rows that repeat an id are told apart by their vector:
     all are candidates, and the least vector is the query. Too few rows, or an
@@ -123,33 +133,40 @@ def search(vectors: DataFrame, query_step: int = 20, k: int = 20, trees: int = 6
     spark = vectors.sparkSession
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards, blocks = max(1, -(-most.n // SHARD_ROWS)), max(1, -(-(most.n // query_step + 1) // BLOCK_ROWS))
+    shards, blocks = -(-most.n // SHARD_ROWS), -(-(most.n // query_step + 1) // BLOCK_ROWS)
     rows = rows.where(F.size("v") == most.dim)
     base = stored(rows.distinct(), "vectors")
     queries = base.where(F.col("id") % query_step == 0).groupBy("id").agg(F.min("v").alias("v"))
-    spread = F.xxhash64(F.lit(5), "id")
-    points = base.select("id", "v", F.pmod(spread, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = queries.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(spread, F.lit(blocks)).cast("int").alias("block"))
+    shard, block = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(shards)), F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(blocks))
+    points = base.select(shard.alias("shard"), F.explode(_numbers(blocks)).alias("block"), F.lit(0).alias("ask"), "id", "v")
+    asked = queries.select(F.explode(_numbers(shards)).alias("shard"), block.alias("block"), F.lit(1).alias("ask"), "id", "v")
     norm, dim = float(most.norm), int(most.dim)
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        table = table.sort_by([("id", "ascending")]).combine_chunks()
-        ids = table.column("id").to_numpy()
-        values = table.column("v").combine_chunks()
-        values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
-        return ids, values.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
-
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        ids, x = matrix(left)
-        query_ids, q = matrix(right)
-        extra = np.sqrt(np.maximum(0, norm - (x * x).sum(axis=1)))
-        return pa.table(best(Forest(x, extra, trees), ids, q, query_ids, k, share), schema=out)
-
-    found = points.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def meet(frames):
+        """Vectors of a shard come first, then the queries of a block, in order of their ids."""
+        at, ids, vectors, forest = None, [], [], None
+        for batch in frames:
+            key = batch.column(0).to_numpy() * blocks + batch.column(1).to_numpy()
+            ask, id_, v = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(ask) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if a == b:
+                    continue
+                if key[a] != at:
+                    at, ids, vectors, forest = key[a], [], [], None
+                if not ask[a]:
+                    ids.append(id_[a:b])
+                    vectors.append(v[a:b])
+                    continue
+                if forest is None and ids:
+                    x = np.concatenate(vectors)
+                    forest = Forest(np.concatenate(ids), x, np.sqrt(np.maximum(0, norm - (x * x).sum(axis=1))), trees)
+                    vectors = []
+                if forest is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest.best(v[a:b], id_[a:b], k, entries)], schema=out)
+
+    dealt = points.unionAll(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "ask", "id")
+    found = dealt.mapInArrow(meet, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -86,6 +86,34 @@ def test_forest_finds_the_nearest(spark):
     assert few.count() == 4 and ann.search(frame.where("false")).count() == 0
 
 
+def test_forest_scores_a_falling_share_of_larger_shards():
+    """Independent dimensions, where hashes tell least: recall stays over 0.9 while the share of the rows that is scored falls."""
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (3000, 50_000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        forest, asked = ann.Forest(np.arange(n), x, np.zeros(n)), np.arange(0, n, n // 60)
+        exact = x[asked] @ x.T
+        exact[np.arange(len(asked)), asked] = -9
+        query, found, score = forest.best(x[asked], asked, 20, ann.ENTRIES)
+        hits = sum(len(set(found[query == q]) & set(np.argsort(-exact[k])[:20])) for k, q in enumerate(asked))
+        assert hits >= 0.9 * 20 * len(asked) and np.allclose(score, (x[query] * x[found]).sum(axis=1))
+        shares.append(np.mean([len(m) for m in forest.candidates(x[asked], ann.ENTRIES)]) / n)
+    assert shares[1] < 0.25 < shares[0]
+
+
+def test_shards_and_blocks_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 16))
+    frame = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(900)], "vec_id long, embedding array<double>")
+    want = {(k, r, int(c)) for k in range(0, 900, 20) for r, c in enumerate([c for c in np.argsort(-(x[k] @ x.T), kind="stable") if c != k][:20], 1)}
+    monkeypatch.setattr(ann, "SHARD_ROWS", 200)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 10)
+    got = {(r.query_id, r.rank, r.vec_id) for r in ann.search(frame, entries=1 << 30).collect()}
+    assert got == want
+
+
 def near_texts(seed=3):
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(400)]
