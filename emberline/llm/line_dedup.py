@@ -95,9 +95,9 @@ def _live(rows: DataFrame, more: str = "key", fit: str = "true") -> DataFrame:
 
 
 def _set(line: str) -> str:
-    """The shingle set of a line, as an array; the line in lower case is bound to a name, so that it is made once."""
-    runs = f"array_distinct(if(char_length(l) < {CHARS}, array(l), regexp_extract_all(l, '(?s)(?=(.{{{CHARS}}}))', 1)))"
-    return f"transform(array(lower({line})), l -> {runs})[0]"
+    """The shingle set of a line, as an array of hashes; the codes are bound to a name, so that they are made once."""
+    runs = f"array_distinct(transform({_starts()}, i -> xxhash64(substring(codes, i, {4 * CHARS}))))"
+    return f"transform(array(encode(lower({line}), 'UTF-32')), codes -> {runs})[0]"
 
 
 def _reaches(overlap: str, sizes: str, threshold: float) -> str:
@@ -136,7 +136,7 @@ def _across(live: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """
     rows = live.select("key", "id", "c", "x", "y").join(live.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     rows = stored(_live(rows, "keys", "array_min(array_intersect(keys, keys2)) = key"), "live")
-    sets = texts.join(rows, "id", "left_semi").select("id", F.expr(f"transform({_set('line')}, g -> xxhash64(g))").alias("set"))
+    sets = texts.join(rows, "id", "left_semi").select("id", F.expr(_set("line")).alias("set"))
     ready = stored(rows.join(sets, "id"), "ready")
     left, right = (ready.select("key", F.size("set").alias(f"n{n}"), *[F.col(name).alias(f"{name}{n}") for name in ("id", "c", "x", "y", "keys", "set")]) for n in (1, 2))
     same = f"id1 < id2 and c1 <> c2 and {_PLAUSIBLE} and least(n1, n2) >= {float(threshold)}D * greatest(n1, n2) and array_min(array_intersect(keys1, keys2)) = key"
