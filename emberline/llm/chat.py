@@ -51,8 +51,8 @@ def pieces(text: Column) -> Column:
 def windows(conversations: DataFrame, budget: int = 512, history: int = 128, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text", tokens: Column | None = None) -> DataFrame:
     """One row per window: conv, window, text, loss (spans of code points in text, end exclusive), repeated (turns that are no new ones) and tokens.
 
-    A conversation is the unit here, as its windows repeat its turns: its turns
-    are gathered in one row. Turns stand in the order of turn, role and text,
+    A conversation is the unit here, as where a window ends decides where the next
+    begins: its turns are gathered in one row, and windows take slices of it. Turns stand in the order of turn, role and text,
     nulls first; null role and text are empty; rows that repeat a turn are turns
     of their own; rows with a null conversation form one conversation. A turn
     that alone is over the budget makes a window of its own, whole. Only a
@@ -68,9 +68,10 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 128, con
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     rows = rows.withColumns({"s": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "place": F.row_number().over(order)})
     back = Window.partitionBy("conv").orderBy("s").rangeBetween(-int(history), 0)
-    plain = F.when((F.col("place") > 1) | (F.col("role") != "system"), F.col("s"))
-    rows = rows.withColumn("old", F.col("s") - F.coalesce(F.min(plain).over(back), F.col("s")))
-    talk = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text", "shown", "n", "head", "s", "old"))).alias("t"))
+    can = (F.col("place") > 1) | (F.col("role") != "system")
+    earliest = F.min(F.when(can, F.struct("s", "place"))).over(back)
+    rows = rows.withColumns({"old": F.col("s") - F.coalesce(earliest["s"], F.col("s")), "back": F.coalesce(earliest["place"], F.col("place")) - 1})
+    talk = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("place", "role", "shown", "n", "head", "s", "old", "back"))).alias("t"))
     talk = talk.withColumn("kept", F.expr("if(t[0].role = 'system', 1, 0)"))
     talk = talk.withColumn("room", F.expr(f"{int(budget)}L - if(kept = 1, t[0].n, 0L)"))
     # where new turns begin: the first after the system turn, then each at which the budget is used up, history included
@@ -82,14 +83,14 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 128, con
                 named_struct('starts', array_append(a.starts, i), 'from', get(t, i).s, 'held', if(get(t, i).old + get(t, i).n <= room, get(t, i).old, 0L)),
                 a),
             a -> a.starts)"""
+    # each window takes its own turns only, so that a conversation is not copied for each of its windows
+    held = "if(w > 0 and get(t, first).old + get(t, first).n <= room, get(t, first).old, 0L)"
+    begin = f"if({held} = 0, first, get(t, first).back)"
+    own = f"concat(slice(t, 1, kept), slice(t, {begin} + 1, coalesce(get(starts, w + 1), size(t)) - {begin}))"
+    each = f"transform(starts, (first, w) -> named_struct('window', w, 'repeated', if(w > 0, kept + first - {begin}, 0), 'turns', {own}))"
     # outer, though never empty: else the optimizer repeats all that is above in a filter of its own
-    cut = talk.withColumn("starts", F.expr(f"if(size(t) > kept, {step}, array(kept))"))
-    cut = cut.select("conv", "t", "kept", "room", "starts", F.posexplode_outer("starts").alias("window", "first"))
-    cut = cut.withColumn("stop", F.expr("coalesce(get(starts, window + 1), size(t))"))
-    cut = cut.withColumn("held", F.expr("if(window > 0 and get(t, first).old + get(t, first).n <= room, get(t, first).old, 0L)"))
-    cut = cut.withColumn("begin", F.expr("if(held = 0, first, first - size(filter(sequence(kept, first), i -> i < first and get(t, first).s - get(t, i).s <= held)))"))
-    cut = cut.withColumn("repeated", F.expr("if(window > 0, kept + first - begin, 0)"))
-    cut = cut.withColumn("turns", F.expr("concat(if(kept = 1, slice(t, 1, 1), slice(t, 1, 0)), slice(t, begin + 1, stop - begin))"))
+    cut = talk.withColumn("starts", F.expr(f"if(size(t) > kept, {step}, array(kept))")).withColumn("cut", F.expr(each))
+    cut = cut.select("conv", F.expr("inline_outer(cut)"))
     cut = cut.withColumn("ends", F.expr("aggregate(turns, array(0L), (a, x) -> array_append(a, element_at(a, -1) + length(x.shown)))"))
     loss = f"""
         transform(
