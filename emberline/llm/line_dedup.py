@@ -122,10 +122,17 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _merged(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows with an id and its component c, after new links (a, b) have joined components."""
+    """Rows with an id and its component c, after new links (a, b) have joined components that are at most two links apart.
+
+    That takes in a whole star. Components that stay apart though links join
+    them cost comparisons, but lose nothing, as all links are joined in the end.
+    """
     label = rows.select("id", "c").distinct()
-    joined = links.join(label.toDF("a", "c1"), "a").join(label.toDF("b", "c2"), "b").select("c1", "c2")
-    return rows.join(connected(joined).toDF("c", "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
+    joined = links.join(label.toDF("a", "u"), "a").join(label.toDF("b", "v"), "b").select("u", "v")
+    edges = stored(joined.unionAll(joined.select("v", "u")).unionAll(joined.select("u", "u")).unionAll(joined.select("v", "v")).distinct(), "edges")
+    once = edges.groupBy("u").agg(F.min("v").alias("m"))
+    twice = edges.join(once.toDF("v", "m"), "v").groupBy("u").agg(F.min("m").alias("m"))
+    return rows.join(twice.toDF("c", "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
 
 
 def _across(live: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
