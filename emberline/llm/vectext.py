@@ -80,7 +80,7 @@ def runs(mask: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def batches(frames, most_bytes: int = 4_000_000, text: str = "text"):
+def batches(frames, most_bytes: int = 1_500_000, text: str = "text"):
     """Cut the Arrow batches of a partition into pieces of about so many bytes of text, so that memory stays bounded; one text is never cut."""
     for batch in frames:
         if not batch.num_rows:
@@ -92,7 +92,7 @@ def batches(frames, most_bytes: int = 4_000_000, text: str = "text"):
             yield batch.slice(a, b - a)
 
 
-def pieces(texts: pa.Array | pa.ChunkedArray, most_bytes: int = 2_000_000):
+def pieces(texts: pa.Array | pa.ChunkedArray, most_bytes: int = 1_000_000):
     """(data, offsets) of stretches of a column, so that a sample's temporary arrays stay small."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
