@@ -5,6 +5,8 @@ Each stage works on all that the one before it kept, read from Parquet.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm import queries as q
@@ -53,6 +55,12 @@ STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_
 ORACLE_SQL = None
 
 
+def _forget(spark: SparkSession) -> None:
+    """Plans and generated classes of a finished stage leave the driver, which else keeps those of all stages."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
@@ -60,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             before, docs = docs, stored(docs, f"stage-{name}")
             discard(before)
+            _forget(spark)
     return docs
