@@ -46,13 +46,18 @@ def planck(length: float, kelvin: Column) -> Column:
     return F.lit(C1 / length**5) / F.expm1(F.lit(C2 / length) / kelvin)
 
 
+def expected(kelvin: Column) -> Column:
+    """The bands' ratio at a temperature, null where that is too low for either."""
+    return F.try_divide(planck(L5, kelvin), planck(L6, kelvin))
+
+
 def temperature(ratio: Column, t_min: float = 500.0, t_max: float = 5000.0) -> Column:
     """The temperature at which the bands' Planck radiances have this ratio, by bisection; null outside the limits."""
-    inside = (ratio > planck(L5, F.lit(t_min)) / planck(L6, F.lit(t_min))) & (ratio < planck(L5, F.lit(t_max)) / planck(L6, F.lit(t_max)))
+    inside = (ratio > expected(F.lit(t_min))) & (ratio < expected(F.lit(t_max)))
 
     def halve(a: Column, _: Column) -> Column:
         middle = (a["lo"] + a["hi"]) / 2
-        low = planck(L5, middle) / planck(L6, middle) < ratio
+        low = expected(middle) < ratio
         return F.struct(F.when(low, middle).otherwise(a["lo"]).alias("lo"), F.when(low, a["hi"]).otherwise(middle).alias("hi"), middle.alias("t"))
 
     start = F.struct(F.lit(t_min).alias("lo"), F.lit(t_max).alias("hi"), F.lit(None).cast("double").alias("t"))
@@ -124,6 +129,20 @@ def confirmed_thermal(grouped: DataFrame, thermal: DataFrame, th7: float, th1: f
     return met.groupBy(*CLUSTER).agg(F.bool_or(F.coalesce(hot, F.lit(False))).alias("thermal"))
 
 
+def thermal_hot(pixels: DataFrame) -> DataFrame:
+    """(granule, row, col) of pixels (…, s7, f1, th7, th1) under which the mid-infrared is hot: S7 over its threshold where it is under 306 K, its linear range, else F1 over its own and within 300 to 480 K."""
+    hot = F.when(F.col("s7") < 306, F.col("s7") > F.col("th7")).otherwise((F.col("f1") > F.col("th1")) & F.col("f1").between(300, 480))
+    return pixels.where(hot).select("granule", "row", "col")
+
+
+def confirmed_near(grouped: DataFrame, hot: DataFrame) -> DataFrame:
+    """The clusters with a pixel of thermal_hot() at two pixels' steps around one of theirs; a kilometre's value stands under each of its four pixels."""
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-2, 0, 2) for j in (-2, 0, 2)))
+    near = grouped.select(*CLUSTER, "row", "col", F.explode(steps).alias("o"))
+    near = near.select(*CLUSTER, (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
+    return near.join(hot, ["granule", "row", "col"], "left_semi").select(*CLUSTER).distinct()
+
+
 def background(grouped: DataFrame, pixels: DataFrame, wide: int = 2) -> DataFrame:
     """(cluster, bg5, bg6): upper medians of the values in the frame `wide` pixels around the cluster's bounding box."""
     box = grouped.groupBy(*CLUSTER).agg(F.min("row").alias("i0"), F.max("row").alias("i1"), F.min("col").alias("j0"), F.max("col").alias("j1"))
@@ -142,11 +161,18 @@ def detections(pixels: DataFrame, limits5: DataFrame, limits6: DataFrame, thresh
 
     The place is the mean of the pixels' own, weighted by S5; it must be in the box
     (w, s, e, n), which may cross the antimeridian and holds its west and south edge.
+
+    Where the pixels have the mid-infrared (s7, f1, with th7 and th1) it confirms
+    clusters too. Where hot pixels have their `corners`, the result has px, an array
+    of (heat, corners): a pixel's share of the radiant heat, by its excess in S6.
     """
     t = thresholds or params.NIGHT
     hot = hot_pixels(pixels, limits5)
     grouped = clusters(hot)
     sure = confirmed(grouped, pixels, limits6)
+    if "s7" in pixels.columns:
+        warm = confirmed_near(grouped, thermal_hot(pixels)).withColumn("warm", F.lit(True))
+        sure = sure.join(warm, CLUSTER, "left").select(*CLUSTER, (F.col("confirmed") | F.col("warm").isNotNull()).alias("confirmed"))
     if thermal is not None:
         sure = sure.join(confirmed_thermal(grouped, thermal, th7, th1), CLUSTER).select(*CLUSTER, (F.col("confirmed") | F.col("thermal")).alias("confirmed"))
     first = Window.partitionBy(*CLUSTER).orderBy("row", "col").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -158,12 +184,14 @@ def detections(pixels: DataFrame, limits5: DataFrame, limits6: DataFrame, thresh
     def excess(c: str, bg: str, gain: float) -> Column:
         return (F.sum(F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(c).cast("double") - F.col(bg))) * gain).alias(c)
 
+    over6 = F.when(F.col("s6").isNotNull() & ~F.isnan("s6"), F.col("s6").cast("double") - F.col("bg6")).otherwise(0.0) * t["s6_gain"]
+    outlined = [F.array_sort(F.collect_list(F.struct("row", "col", over6.alias("more"), "corners"))).alias("px_")] if "corners" in pixels.columns else []
     sums = rows.groupBy(*CLUSTER).agg(
         F.count("*").cast("int").alias("pixels"), (F.max(F.col("flag5").bitwiseAND(SATURATED)) != 0).alias("saturated"),
         excess("s5", "bg5", t["s5_gain"]), excess("s6", "bg6", t["s6_gain"]),
         F.try_divide(F.sum(F.when(placed, F.col("w") * turn)), F.sum(F.when(placed, F.col("w")))).alias("dlon"), F.first("o").alias("o"),
         F.try_divide(F.sum(F.when(placed, F.col("w") * F.col("lat"))), F.sum(F.when(placed, F.col("w")))).alias("lat"),
-        (F.sum(F.col("w") * F.col("col")) / F.sum("w") - track).alias("track"),
+        (F.sum(F.col("w") * F.col("col")) / F.sum("w") - track).alias("track"), *outlined,
     )
     wrapped = F.pmod(F.col("dlon") + F.col("o") + 540, F.lit(360.0)) - 180
     out = sums.withColumn("lon", wrapped)
@@ -174,7 +202,8 @@ def detections(pixels: DataFrame, limits5: DataFrame, limits6: DataFrame, thresh
     kelvin = F.when(~F.col("saturated") & (F.col("s6") > 0), temperature(F.try_divide(F.col("s5"), F.col("s6")), t["t_min"], t["t_max"]))
     out = out.withColumn("temperature", kelvin).where(F.col("saturated") | F.col("temperature").isNotNull())
     out = out.withColumn("rh", radiant_heat(F.col("temperature"), F.col("s6")))
-    return out.join(sure, CLUSTER).select(*CLUSTER, "lon", "lat", "pixels", "s5", "s6", "temperature", "rh", "confirmed", "saturated", "track")
+    px = [F.transform("px_", lambda p: F.struct((F.try_divide(p.more, F.col("s6")) * F.col("rh")).alias("heat"), p.corners.alias("corners"))).alias("px")] if outlined else []
+    return out.join(sure, CLUSTER).select(*CLUSTER, "lon", "lat", "pixels", "s5", "s6", "temperature", "rh", "confirmed", "saturated", "track", *px)
 
 
 def flares(hotspots: DataFrame, t_min: float = 1500.0, least_passes: int = 5, cell: float = 0.025) -> DataFrame:

@@ -22,6 +22,7 @@ from emberline import params
 from emberline.functions import geo
 from emberline.functions.stages import applied
 from emberline.operators import day, night
+from emberline.sources import granule
 
 HOTSPOT = "x double, y double, max_b12 double, avg_b12 double, peak_b11 double, ratio double, peakedness double, pixels int, radiance double, saturated boolean, px array<struct<x:double,y:double,b12:double>>"
 _PIXEL = "request long, row int, col int, b12 int, b11 int, b8a int, cloudy boolean, ox double, oy double, res double, error string"
@@ -113,15 +114,19 @@ def sensing_time(name: str) -> datetime:
     return datetime.strptime(m[1], "%Y%m%dT%H%M%S").replace(tzinfo=timezone.utc) + timedelta(seconds=90)
 
 
-NIGHT_HOTSPOT = ["lon", "lat", "pixels", "s5", "s6", "temperature", "rh", "confirmed", "saturated", "track"]
-_NIGHT = "request long, row int, col int, s5 float, s6 float, flag5 int, cloud int, lon double, lat double, th5 double, th6 double, error string"
+NIGHT_HOTSPOT = ["lon", "lat", "pixels", "s5", "s6", "temperature", "rh", "confirmed", "saturated", "track", "px"]
+_NIGHT = "request long, row int, col int, s5 float, s6 float, flag5 int, cloud int, lon double, lat double, th5 double, th6 double, s7 double, f1 double, th7 double, th1 double, track_offset double, corners array<double>, error string"
 
 
 def night_detect(requests: DataFrame, read: Callable[[str], dict], thresholds: str = "") -> DataFrame:
-    """(request columns, sza, clear, error, hotspots) of requests (granule, w, s, e, n).
+    """(request columns, sza, clear, error, hotspots, squares) of requests (granule, w, s, e, n).
 
     `read(granule)` gives s5, s6, flag5, cloud, lon and lat (rows x columns) and the
-    bands' thresholds th5 and th6, or raises. A small box by day is not read. Rows
+    bands' thresholds th5 and th6, or raises. It may give s7 and f1 (the same shape)
+    with th7 and th1, which confirm clusters; the track's column (track); and the tie
+    grid (tie: lat, lon and two offsets), by which hot spots get their pixels'
+    outlines. squares are of the thresholds' `square` degrees, named by their west
+    and south edges; there are none if that is 0. A small box by day is not read. Rows
     of one granule are read together. Null arguments and refused thresholds are
     dealt with as in day_detect().
     """
@@ -135,9 +140,9 @@ def night_detect(requests: DataFrame, read: Callable[[str], dict], thresholds: s
     five = ["granule", "w", "s", "e", "n"]
     whole = numbered.where(" and ".join(f"{c} is not null" for c in five)).select("request", *five)
 
-    def checked(granule: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def checked(name: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.DataFrame:
         said, seconds = [], []
-        for g, a, b, c, d in zip(granule, w, s, e, n, strict=True):
+        for g, a, b, c, d in zip(name, w, s, e, n, strict=True):
             error, at = refused, None
             if not all(map(math.isfinite, (a, b, c, d))):
                 error = error or "nonfinite box"
@@ -159,7 +164,7 @@ def night_detect(requests: DataFrame, read: Callable[[str], dict], thresholds: s
     timed = applied(timed, geo.zenith("at", "mid_lon", "mid_lat"), ["sza"])
     small = F.expr("wide < 10 and n - s < 10")
     timed = stored(timed.withColumn("by_day", F.col("error").isNull() & small & (F.col("sza") < t["sza_min"])), "timed")
-    schema = pa.schema([(x, {"long": pa.int64(), "int": pa.int32(), "float": pa.float32(), "double": pa.float64(), "string": pa.string()}[k]) for x, k in (c.split() for c in _NIGHT.split(", "))])
+    schema = pa.schema([(x, {"long": pa.int64(), "int": pa.int32(), "float": pa.float32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}[k]) for x, k in (c.split() for c in _NIGHT.split(", "))])
 
     def load(table: pa.Table) -> pa.Table:
         rows = table.to_pandas()
@@ -181,13 +186,21 @@ def night_detect(requests: DataFrame, read: Callable[[str], dict], thresholds: s
             r0, r1, c0, c1 = max(0, r.min() - 4), r.max() + 5, max(0, c.min() - 4), c.max() + 5
             part = {k: g[k][r0:r1, c0:c1] for k in ("s5", "s6", "flag5", "cloud", "lon", "lat")}
             rr, cc = (a.ravel().astype(np.int32) for a in np.mgrid[r0 : r0 + part["s5"].shape[0], c0 : c0 + part["s5"].shape[1]])
-            out.append(pd.DataFrame({"request": row.request, "row": rr, "col": cc, **{k: v.ravel() for k, v in part.items()}, "th5": g["th5"], "th6": g["th6"], "error": None}))
+            flat = {k: v.ravel() for k, v in part.items()}
+            for k in ("s7", "f1"):
+                flat |= {k: g[k][r0:r1, c0:c1].ravel() if k in g else np.nan, "th" + k[1]: g.get("th" + k[1], np.inf)}
+            corners = np.full(len(rr), None, object)
+            hot = np.flatnonzero((flat["s5"] > g["th5"]) | (flat["flag5"] & night.SATURATED != 0)) if "tie" in g else []
+            if len(hot):
+                edges = granule.outlines(rr[hot], cc[hot], flat["lon"][hot], flat["lat"][hot], g["tie"])
+                corners[hot] = pd.Series(edges.tolist()).to_numpy()
+            out.append(pd.DataFrame({"request": row.request, "row": rr, "col": cc, **flat, "th5": g["th5"], "th6": g["th6"], "track_offset": float(g.get("track", 0.0)), "corners": corners, "error": None}))
         return pa.concat_tables([pa.Table.from_pandas(o, schema, preserve_index=False) for o in out]) if out else schema.empty_table()
 
     todo = timed.where("error is null and not by_day").select("request", *five)
     pixels = stored(todo.groupBy("granule").applyInArrow(load, _NIGHT), "pixels")
     seen = pixels.where("row is not null").withColumn("granule", F.col("request"))
-    rasters = seen.select("granule", "row", "col", "s5", "s6", "flag5", "cloud", "lon", "lat")
+    rasters = seen.select("granule", "row", "col", "s5", "s6", "flag5", "cloud", "lon", "lat", "s7", "f1", "th7", "th1", "corners")
     limits = [seen.select("granule", F.col(c).alias("threshold")).distinct() for c in ("th5", "th6")]
     hot = night.hot_pixels(rasters, limits[0])
     box = timed.select(F.col("request").alias("granule"), "w", "s", "e", "n")
@@ -196,13 +209,19 @@ def night_detect(requests: DataFrame, read: Callable[[str], dict], thresholds: s
         return rows.join(box, "granule").where("lat >= s and lat < n and if(e > w, lon >= w and lon < e, lon >= w or lon < e)").drop("w", "s", "e", "n")
 
     clear = night.clear_share(inside(rasters), hot, int(t["cloud_bits"])).select(F.col("granule").alias("request"), "clear")
-    found = inside(night.detections(rasters, *limits, t))
+    offsets = seen.select("granule", "track_offset").distinct()
+    found = inside(night.detections(rasters, *limits, t)).join(offsets, "granule").withColumn("track", F.col("track") - F.col("track_offset"))
     spots = found.groupBy("granule").agg(F.array_sort(F.collect_list(F.struct("comp_row", "comp_col", F.struct(*NIGHT_HOTSPOT).alias("h")))).alias("h"))
     spots = spots.select(F.col("granule").alias("request"), F.transform("h", lambda h: h.h).alias("hotspots"))
+    side = t["square"]
+    looked = night.squares(inside(rasters), hot, int(t["cloud_bits"]), side) if side > 0 else night.squares(inside(rasters), hot, 0, 1.0).where("false")
+    square = F.struct(*[(F.col(q) * F.lit(side)).alias(c) for c, q in (("lon", "qx"), ("lat", "qy"))], "pixels", "clear")
+    grid = looked.groupBy("granule").agg(F.array_sort(F.collect_list(F.struct("qy", "qx", square.alias("q")))).alias("q"))
+    grid = grid.select(F.col("granule").alias("request"), F.transform("q", lambda q: q.q).alias("squares"))
     failed = pixels.where("error is not null").select("request", F.col("error").alias("failed"))
-    answers = timed.select("request", "error", "sza").join(failed, "request", "left").join(clear, "request", "left").join(spots, "request", "left")
+    answers = timed.select("request", "error", "sza").join(failed, "request", "left").join(clear, "request", "left").join(spots, "request", "left").join(grid, "request", "left")
     answers = answers.withColumn("error", F.coalesce("error", "failed"))
-    kind = spots.schema["hotspots"].dataType
+    kinds = {"hotspots": spots.schema["hotspots"].dataType, "squares": grid.schema["squares"].dataType}
     known = F.expr("sza is not null and not isnan(sza)")
-    answers = answers.select("request", F.when(known, F.col("sza")).alias("sza"), "clear", "error", F.when(F.col("error").isNull(), F.coalesce("hotspots", F.array().cast(kind))).alias("hotspots"))
+    answers = answers.select("request", F.when(known, F.col("sza")).alias("sza"), "clear", "error", *[F.when(F.col("error").isNull(), F.coalesce(c, F.array().cast(k))).alias(c) for c, k in kinds.items()])
     return numbered.join(answers, "request", "left").drop("request")

@@ -618,3 +618,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+# places lie in 40 by 30 tenths of a degree; of a cell's 25 slots some saw nothing, and some are lacking
+_SITES_BY_NIGHT = "SELECT c_custkey AS site, CAST(2000 + c_custkey * 37 % 4000 AS DOUBLE) / 1000 AS lon, CAST(50000 + c_custkey * 53 % 3000 AS DOUBLE) / 1000 AS lat FROM customer"
+
+
+@query(f"""SELECT site, CAST(ts + to_microseconds(CAST(round_even(lon / 15 * 3600e6, 0) AS BIGINT) - 43200000000) AS DATE) AS date, round(min(1 - CAST((event_id + k * 11) % 9 AS DOUBLE) / 8), 6) AS cloud
+    FROM (SELECT event_id, ts, k, (event_id % 40 + 20) * 5 + k % 5 AS a, (event_id // 40 % 30 + 500) * 5 + k // 5 AS b FROM events, range(25) r(k) WHERE event_id % 60 >= 30 AND (event_id + k) % 13 <> 0 AND (event_id * 7 + k * 3) % 5 > 0)
+    JOIN ({_SITES_BY_NIGHT}) ON CAST(floor(round(lon * 50, 6)) AS BIGINT) = a AND CAST(floor(round(lat * 50, 6)) AS BIGINT) = b GROUP BY ALL""")
+def night_site_looks(spark, sf_dir):
+    slots = F.expr("transform(sequence(0, 24), k -> if((event_id + k) % 13 <> 0, named_struct('pixels', (event_id * 7 + k * 3) % 5, 'clear', cast((event_id + k * 11) % 9 as double) / 8), null))")
+    packs = table(spark, sf_dir, "events").select(F.col("ts").alias("t"), F.expr("cast(60 + event_id % 60 as double) as sza"), F.expr("cast(event_id % 40 + 20 as int) as i"), F.expr("cast(event_id div 40 % 30 + 500 as int) as j"), slots.alias("squares"))
+    sites = spark.sql(_SITES_BY_NIGHT.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+    return rounded(linkage.slot_under(sites, packs), "cloud")
+
+
+@query("""SELECT event_id % 30 AS granule, CAST(floor(CAST(user_id AS DOUBLE) * 0.013 / 0.02) AS BIGINT) AS qx, CAST(floor(CAST(event_id % 77 AS DOUBLE) * -0.017 / 0.02) AS BIGINT) AS qy, count(*) AS pixels, round(avg(CASE WHEN event_id % 4 = 0 THEN 1.0 ELSE 0.0 END), 6) AS clear
+    FROM events WHERE event_id % 11 <> 0 AND event_id % 17 <> 0 GROUP BY ALL""")
+def night_squares(spark, sf_dir):
+    """By the fixture every 17th pixel is absent, every 11th hot, and three of four fire a cloud test."""
+    pixels = table(spark, sf_dir, "events").selectExpr(
+        "event_id % 30 as granule", "cast(event_id as int) as row", "cast(user_id as int) as col", "cast(if(event_id % 11 = 0, 9, 1) as float) as s5", f"if(event_id % 17 = 0, {night.ABSENT}, 0) as flag5", "if(event_id % 4 = 0, 1, 64) as cloud",
+        "cast(user_id as double) * 0.013D as lon", "cast(event_id % 77 as double) * -0.017D as lat",
+    )
+    limits = pixels.select("granule", F.lit(5.0).alias("threshold")).distinct()
+    return rounded(night.squares(pixels, night.hot_pixels(pixels, limits), 64), "clear")
+
+
+@query("""SELECT o_orderkey, CASE WHEN 200 + o_orderkey % 1000 < 400 THEN 'needs baseline N0400 or later' WHEN o_orderkey % 7 = 0 THEN 'b12 url not in SAFE form' END AS error FROM orders""")
+def scene_preconditions(spark, sf_dir):
+    address = f"concat('s3://store/', {_PRODUCT}, '.SAFE/GRANULE/L1C_A/', if(o_orderkey % 7 = 0, '', 'IMG_DATA/'), 'T32UQC_20240305T101031_B12.jp2') as b12"
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", address).select("o_orderkey", catalogue.scene_refused(F.col("b12")).alias("error"))
+
+
+_FOUND = "SELECT event_id, concat('S2A_MSIL1C_202403', lpad(CAST(1 + event_id % 28 AS VARCHAR(9)), 2, '0'), 'T101031_N0510_R022_T', lpad(CAST(1 + event_id % 40 AS VARCHAR(9)), 2, '0'), 'UQC_x') AS scene, CAST(user_id % 16 AS INT) AS i, CAST(event_id % 7 AS INT) AS j, CAST(300000 + event_id % 400 * 20 AS DOUBLE) AS x, CAST(4200000 + event_id * 20 AS DOUBLE) AS y FROM events"
+
+
+@query(f"""WITH found AS ({_FOUND}), cells AS (SELECT DISTINCT scene, i, j FROM found WHERE event_id % 3 <> 0), ours AS (SELECT scene, x, y, event_id % 3 AS polygons FROM found SEMI JOIN cells USING (scene, i, j)),
+    kept AS (SELECT scene, x, y + event_id % 2 AS y, -1 AS polygons FROM found WHERE event_id % 10 < 2 AND scene IN (SELECT scene FROM cells))
+    SELECT scene, x, y, polygons, split_part(scene, '_', 6)[2:] AS tile, CAST(strptime(split_part(scene, '_', 3), '%Y%m%dT%H%M%S') AS DATE) AS date FROM (FROM ours UNION ALL FROM kept ANTI JOIN ours USING (scene, x, y))""")
+def archive_detections(spark, sf_dir):
+    found = spark.sql(_FOUND.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    cells = found.where("event_id % 3 <> 0").selectExpr("scene", "i", "j", "'c' as cell", "concat('EPSG:326', substring(scene, 40, 2)) as crs").distinct()
+    hot = found.withColumn("px", F.expr("filter(transform(sequence(0, 2), k -> named_struct('x', x + 20 * k, 'y', y, 'b12', 1D)), (p, k) -> k < event_id % 3)")).drop("event_id")
+    archive = found.where("event_id % 10 < 2").selectExpr("scene", "x", "y + event_id % 2 as y", "'kept' as geometry", "substring(scene, 40, 5) as tile", "to_date(substring(scene, 12, 8), 'yyyyMMdd') as date")
+    polygons = F.expr("cast(case when geometry is null then 0 when geometry = 'kept' then -1 else size(split(geometry, '[)][)], [(][(]')) end as bigint)")
+    return store.detections(hot, cells, archive).select("scene", "x", "y", polygons.alias("polygons"), "tile", "date")

@@ -144,3 +144,20 @@ def seeds(points: DataFrame) -> DataFrame:
     at = points.where(F.col("lat").between(-84, 84)).groupBy(F.floor("lon").alias("x"), F.floor("lat").alias("y")).agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count("*").alias("n"))
     return at.orderBy(F.desc("n"), "x", "y").select(F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"))
 
+
+
+def scene_refused(b12: Column) -> Column:
+    """Why a scene cannot be read by the address of its B12, or null: its levels are known from baseline 4.00 on, and the other files are found by the layout of a SAFE folder."""
+    baseline = F.regexp_extract(b12, r"_N(\d{1,4})", 1)
+    old = (baseline == "") | (baseline.try_cast("int") < 400)
+    return F.when(b12.isNotNull() & old, "needs baseline N0400 or later").when(b12.isNotNull() & ~b12.rlike(r"/IMG_DATA/[^/]*B12[^/]*$"), "b12 url not in SAFE form")
+
+
+def band_addresses(b12: str) -> dict[str, str]:
+    """The files of a scene beside its B12: B11 and B8A in the same folder, the mask among the quality files of the granule."""
+    folder, slash, name = b12.rpartition("/IMG_DATA/")
+    head, mark, tail = name.rpartition("B12")
+    if not slash or not mark:
+        raise ValueError("b12 url not in SAFE form")
+    beside = {band.lower(): f"{folder}/IMG_DATA/{head}{band}{tail}" for band in ("B12", "B11", "B8A")}
+    return beside | {"mask": f"{folder}/QI_DATA/MSK_CLASSI_B00.jp2"}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from emberline.operators import scenes, store
+from emberline.operators import linkage, scenes, store
 from emberline.plans import answers, service
 from emberline.sources import catalogue, ranges
 from emberline.streaming import arrivals
@@ -166,3 +166,40 @@ def test_of_answers_of_one_time_one_to_be_made_again_counts(spark):
     answers = spark.createDataFrame(rows, "k string, made timestamp, retry boolean, has boolean, w double, s double, e double, n double, t1 date")
     touched = spark.createDataFrame([], "k string, made timestamp, x0 double, y0 double, x1 double, y1 double")
     assert {r.k: r.fresh for r in service.freshness(answers, touched, now, 8).collect()} == {"a": False, "b": False, "c": True, "d": False}
+
+
+def test_detections_for_the_archive(spark):
+    scene, other = "S2A_MSIL1C_20240305T101031_N0510_R022_T32UQC_x", "S2A_MSIL1C_20240306T101031_N0510_R022_T32UQC_x"
+    cells = spark.createDataFrame([(scene, 0, 0, "c1", "EPSG:32632"), (other, 0, 0, "c1", "EPSG:32632")], "scene string, i int, j int, cell string, crs string")
+    px = "array<struct<x:double,y:double,b12:double>>"
+    hot = spark.createDataFrame([(scene, 0, 0, 500000.0, 0.0, [(500000.0, 0.0, 1.0), (500020.0, 0.0, 2.0)]), (scene, 0, 0, 500100.0, 0.0, None), (scene, 3, 3, 1.0, 1.0, [])], f"scene string, i int, j int, x double, y double, px {px}")
+    archive = spark.createDataFrame([(scene, 500000.0, 0.0, "old"), (other, 7.0, 7.0, "kept"), ("gone", 1.0, 1.0, "gone")], "scene string, x double, y double, geometry string")
+    got = {(r.scene, r.x): r for r in store.detections(hot, cells, archive).collect()}
+    assert set(got) == {(scene, 500000.0), (scene, 500100.0), (other, 7.0)}
+    one = got[scene, 500000.0]
+    assert one.tile == "32UQC" and one.date == date(2024, 3, 5) and one.datetime == datetime(2024, 3, 5, 10, 10, 31) and one.cell == "c1"
+    rings = [[tuple(map(float, p.split())) for p in r.split(", ")] for r in one.geometry.removeprefix("MULTIPOLYGON (((").removesuffix(")))").split(")), ((")]
+    assert len(rings) == 2 and all(len(r) == 5 and r[0] == r[-1] for r in rings)
+    degree = 10 / 0.9996 / 111319.49
+    assert rings[0][0] == pytest.approx((9 - degree, -10 / 0.9996 / 110574.28), abs=2e-7) and rings[1][2][0] == pytest.approx(9 + 3 * degree, abs=2e-7)
+    assert got[scene, 500100.0].geometry is None and got[other, 7.0].geometry == "kept"
+
+
+def test_scenes_that_cannot_be_read(spark):
+    good = "s3://eodata/a/S2A_MSIL1C_20240305T101031_N0510_R022_T32UQC_x.SAFE/GRANULE/L1C_y/IMG_DATA/T32UQC_20240305T101031_B12.jp2"
+    rows = spark.createDataFrame([(good,), (good.replace("N0510", "N0301"),), ("x_N0500_B12.jp2",), ("B12.jp2",), (None,)], "b12 string")
+    assert [r.e for r in rows.select(catalogue.scene_refused(F.col("b12")).alias("e")).collect()] == [None, "needs baseline N0400 or later", "b12 url not in SAFE form", "needs baseline N0400 or later", None]
+    beside = catalogue.band_addresses(good)
+    assert beside["b12"] == good and beside["b8a"].endswith("/IMG_DATA/T32UQC_20240305T101031_B8A.jp2") and beside["mask"].endswith("/L1C_y/QI_DATA/MSK_CLASSI_B00.jp2")
+    with pytest.raises(ValueError, match="SAFE"):
+        catalogue.band_addresses("x_B12.jp2")
+
+
+def test_night_looks_of_sites(spark):
+    slots = [(4, 0.25) if k == 12 else (0, 0.0) if k == 13 else None for k in range(25)]
+    rows = [(datetime(2024, 1, 2, 22), 100.0, 20, 500, slots), (datetime(2024, 1, 2, 23), 100.0, 20, 500, [(1, 0.5)] * 25), (datetime(2024, 1, 2, 12), 80.0, 20, 500, [(1, 1.0)] * 25)]
+    packs = spark.createDataFrame(rows, "t timestamp, sza double, i int, j int, squares array<struct<pixels:long,clear:double>>")
+    sites = spark.createDataFrame([(1, 2.05, 50.05), (2, 2.07, 50.05), (3, 2.15, 50.05)], "site int, lon double, lat double")
+    got = sorted(tuple(r) for r in linkage.slot_under(sites, packs).collect())
+    assert got == [(1, date(2024, 1, 2), 0.5), (2, date(2024, 1, 2), 0.5)]
+    assert linkage.slot_under(sites, packs.limit(1)).collect()[0].cloud == 0.75
