@@ -92,9 +92,14 @@ class Encoder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer_path = tokenizer_path
         self._clear()
 
+    @functools.cached_property
+    def exact(self) -> Tokenizer:
+        """The tokenizers library's own; most tasks meet no text that needs it."""
+        return Tokenizer.from_file(self.tokenizer_path)
+
     def _clear(self) -> None:
         self.key = np.zeros(CACHE_SLOTS, np.uint64)
         self.at = np.zeros(CACHE_SLOTS, np.int64)

@@ -180,7 +180,7 @@ def pack(
             return pa.RecordBatch.from_arrays([keys, *rest], names=["key", *arrow.names])
 
         key_type = pa.int64()
-        for batch in vectext.batches(frames):
+        for batch in vectext.batches(frames, 500_000):
             key_type = batch.column(0).type
             keys = batch.column(0).to_pylist()
             ids, begins = encoder.encode_texts(*vectext.flat(batch.column(1)), 1)

@@ -7,8 +7,12 @@ the texts, and from it the words with a hash each.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Multiplier of the rolling hash, and its inverse modulo 2**64.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -80,16 +84,24 @@ def runs(mask: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, where the C library can: workers live on, and what one stage has freed else counts against the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(frames, most_bytes: int = 1_500_000, text: str = "text"):
     """Cut the Arrow batches of a partition into pieces of about so many bytes of text, so that memory stays bounded; one text is never cut."""
     for batch in frames:
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.names.index(text))
-        sizes = np.diff(flat(column)[1])
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most_bytes)) + 1
         for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+            give_back()
 
 
 def pieces(texts: pa.Array | pa.ChunkedArray, most_bytes: int = 1_000_000):
