@@ -140,9 +140,13 @@ def listing_days(today: date, known: set[date], first: date = date(2022, 1, 25),
 
 
 def seeds(points: DataFrame) -> DataFrame:
-    """(lon, lat) means of each degree square between 84° south and north, most points first."""
-    at = points.where(F.col("lat").between(-84, 84)).groupBy(F.floor("lon").alias("x"), F.floor("lat").alias("y")).agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count("*").alias("n"))
-    return at.orderBy(F.desc("n"), "x", "y").select(F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"))
+    """(lon, lat) means of each degree square between 84° south and north, most points first.
+
+    Means are of decimals, so that they do not depend on the order of the points, and halves are rounded away from zero.
+    """
+    mean = lambda c: F.round(F.avg(F.col(c).try_cast("decimal(28,12)")), 3).cast("double").alias(c)
+    at = points.where(F.col("lat").between(-84, 84)).groupBy(F.floor("lon").alias("x"), F.floor("lat").alias("y")).agg(mean("lon"), mean("lat"), F.count("*").alias("n"))
+    return at.orderBy(F.desc("n"), "x", "y").select("lon", "lat")
 
 
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from emberline import queries as base
+from emberline.sources import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,10 @@ def test_gaps_of_all_squares(spark, tables):
                 want.setdefault((square, day // 30), []).append(start + dt.timedelta(day))
     got = sorted((r.square, r.first, r.last) for r in base.queries()["search_gaps"](spark, tables).collect())
     assert got == sorted((s, days[0], days[-1]) for (s, _), days in want.items())
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_seeds_are_exact_means(spark, order):
+    lats = [64.26, 64.39, 64.38, 64.88][::order]  # 64.4775 on average, under which sums of doubles stay
+    points = spark.createDataFrame([(-103.5, x) for x in lats], "lon double, lat double").coalesce(1)
+    assert [tuple(r) for r in catalogue.seeds(points).collect()] == [(-103.5, 64.478)]
