@@ -22,8 +22,8 @@ def joined(ranges: list[tuple[int, int]], gap: int = 0, limit: int | None = None
 
 
 def merged(ranges: DataFrame, by: list[str], gap: int = 0, start: str = "a", end: str = "b") -> DataFrame:
-    """(by..., start, end) of ranges joined within a gap, as islands of a running maximum."""
-    order = Window.partitionBy(*by).orderBy(start, end)
+    """(by..., start, end) of ranges joined within a gap, as islands of a running maximum. An unknown start comes after all others and stands alone, an unknown end adds nothing to a range of the same start."""
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = ranges.withColumn("new_", F.coalesce((F.col(start) - before > gap).cast("int"), F.lit(1)))
     rows = rows.withColumn("island_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from emberline import queries as base
-from emberline.sources import catalogue
+from emberline.sources import catalogue, ranges
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +70,9 @@ def test_seeds_are_exact_means(spark, order):
     lats = [64.26, 64.39, 64.38, 64.88][::order]  # 64.4775 on average, under which sums of doubles stay
     points = spark.createDataFrame([(-103.5, x) for x in lats], "lon double, lat double").coalesce(1)
     assert [tuple(r) for r in catalogue.seeds(points).collect()] == [(-103.5, 64.478)]
+
+
+def test_unknown_ends_of_ranges(spark):
+    rows = spark.createDataFrame([(1, 0, 10), (1, 5, 200), (1, 100, None), (1, 100, 120), (1, None, 9000), (1, 300, 310), (1, 1000, None), (1, 1000, 1010)], "f int, a int, b int")
+    got = sorted((r.a is None, r.a, r.b) for r in ranges.merged(rows, ["f"], 50).collect())
+    assert got == [(False, 0, 200), (False, 300, 310), (False, 1000, 1010), (True, None, 9000)]
