@@ -34,6 +34,7 @@ from .common import F, discard, fresh_name, quoted, stored, whole_text
 
 CHARS = 5
 BANDS, ROWS = 10, 4  # a pair at 0.8 meets in some band with a probability of 0.995, at 0.85 of 0.9994, at 0.9 of 0.99997
+TOGETHER = 4  # shingles that meet the minima of a line in one row
 SPLIT_ROWS = 10_000  # lines of a bucket beyond which it is split
 #: The last two bits of 40 minima agree for 34 of them on average at a similarity of 0.8; fewer than 26 have a probability of 4e-4.
 _PLAUSIBLE = "bit_count(~((x1 ^ x2) | (y1 ^ y2))) >= 24 + 26"
@@ -67,13 +68,17 @@ def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFram
 
 def _band_keys(lines: DataFrame) -> DataFrame:
     """(id, keys, x, y): the bucket of each band, and the last two bits of each minimum, for lines (id, line)."""
+    # `TOGETHER` shingles in a row, as an update of 40 minima costs more than the shingles; past the end the last one stands again
+    coded = lines.select("id", _codes().alias("codes")).select("id", "codes", F.expr(f"greatest(octet_length(codes) - {4 * CHARS - 1}, 1)").alias("last"))
     # outer, though never empty: else the optimizer makes the codes once more in a filter of its own
-    runs = lines.select("id", _codes().alias("codes")).select("id", "codes", F.explode_outer(F.expr(_starts())).alias("at"))
-    h = F.hash(F.substring("codes", F.col("at"), F.lit(4 * CHARS)))
-    signed = runs.select("id", h.alias("h")).groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks(BANDS * ROWS))])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    bit = [" | ".join(f"shiftleft(cast(shiftright(m{k}, {j}) & 1 as bigint), {k})" for k in range(BANDS * ROWS)) for j in (0, 1)]
-    return signed.select("id", keys.alias("keys"), F.expr(bit[0]).alias("x"), F.expr(bit[1]).alias("y"))
+    runs = coded.select("id", "codes", "last", F.explode_outer(F.expr(f"sequence(1, last, {4 * TOGETHER})")).alias("at"))
+    h = [F.hash(F.substring("codes", F.least(F.col("at") + 4 * j, "last"), F.lit(4 * CHARS))).alias(f"h{j}") for j in range(TOGETHER)]
+    least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(TOGETHER)])).alias(f"m{k}") for k, m in enumerate(_masks(BANDS * ROWS))]
+    # in array functions, since one generated method for all of this is too long for the JVM to compile
+    signed = runs.select("id", *h).groupBy("id").agg(*least).select("id", F.array(*[f"m{k}" for k in range(BANDS * ROWS)]).alias("m"))
+    keys = f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, {', '.join(f'm[b * {ROWS} + {r}]' for r in range(ROWS))}))"
+    bit = [f"aggregate(transform(m, (v, k) -> shiftleft(cast(shiftright(v, {j}) & 1 as bigint), k)), 0L, (a, v) -> a | v)" for j in (0, 1)]
+    return signed.select("id", F.expr(keys).alias("keys"), F.expr(bit[0]).alias("x"), F.expr(bit[1]).alias("y"))
 
 
 def _buckets(keys: DataFrame, split_rows: int) -> DataFrame:

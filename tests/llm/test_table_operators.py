@@ -230,6 +230,15 @@ def test_lines_with_one_letter_changed_are_found(spark):
     assert not [k for k in set(range(1500)) - set(near) if 2 * k in classes]
 
 
+def test_minima_do_not_depend_on_how_many_shingles_meet_them_at_once(spark, monkeypatch):
+    lines = spark.createDataFrame([(n, "Ä😀 xyz of some words"[:n]) for n in range(20)], "id long, line string")
+    seen = []
+    for together in (2, 3, 4):
+        monkeypatch.setattr(line_dedup, "TOGETHER", together)
+        seen.append(sorted((r.id, tuple(r["keys"]), r.x, r.y) for r in line_dedup._band_keys(lines).collect()))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 20
+
+
 def test_lines_of_large_buckets_are_all_joined(spark):
     """2,000 copies of a line, each with another word at some place, are alike to the line itself and mostly not to each other."""
     rng = random.Random(11)
