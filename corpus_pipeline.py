@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm import queries as q
 from emberline.llm.common import discard, quoted, stored, table
+from emberline.session import give_back
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,7 +59,7 @@ ORACLE_SQL = None
 def _forget(spark: SparkSession) -> None:
     """Plans and generated classes of a finished stage leave the driver, which else keeps those of all stages."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    give_back(spark)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

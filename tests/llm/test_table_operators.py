@@ -339,3 +339,14 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert whole.count() == counts[-1] and set(whole.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "mixture", "packing"]
     assert len([n for n in queries.queries() if n.startswith("op")]) == 10
+
+
+def test_stored_gives_memory_of_the_driver_back(spark, monkeypatch):
+    from emberline import session
+
+    assert session.give_back(spark)
+    calls, real = [], session.give_back
+    monkeypatch.setattr(session, "give_back", lambda s: calls.append(real(s)))
+    kept = session.stored(spark.range(5), "some")
+    assert calls == [True] and kept.count() == 5
+    session.discard(kept)
