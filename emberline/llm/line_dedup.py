@@ -68,6 +68,8 @@ def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFram
 
 def _band_keys(lines: DataFrame) -> DataFrame:
     """(id, keys, x, y): the bucket of each band, and the last two bits of each minimum, for lines (id, line)."""
+    # equal lines meet before their shingles are made, which are not dealt out again; each task has one of a kind to send, however common a line is
+    lines = lines.groupBy("id").agg(F.first("line").alias("line"))
     # `TOGETHER` shingles in a row, as an update of 40 minima costs more than the shingles; past the end the last one stands again
     coded = lines.select("id", _codes().alias("codes")).select("id", "codes", F.expr(f"greatest(octet_length(codes) - {4 * CHARS - 1}, 1)").alias("last"))
     # outer, though never empty: else the optimizer makes the codes once more in a filter of its own

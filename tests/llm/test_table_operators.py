@@ -350,3 +350,12 @@ def test_stored_gives_memory_of_the_driver_back(spark, monkeypatch):
     kept = session.stored(spark.range(5), "some")
     assert calls == [True] and kept.count() == 5
     session.discard(kept)
+
+
+def test_equal_lines_are_one_before_their_shingles_are_made(spark):
+    rows = [(k, f"a line of its own with the number {k}") for k in range(20)]
+    once, often = (spark.createDataFrame(rows * n, "id long, line string") for n in (1, 7))
+    seen = [sorted((r.id, tuple(r["keys"]), r.x, r.y) for r in line_dedup._band_keys(lines).collect()) for lines in (once, often)]
+    assert seen[0] == seen[1] and len(seen[0]) == 20
+    plan = line_dedup._band_keys(often)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate explode")
