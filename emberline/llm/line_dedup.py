@@ -7,7 +7,7 @@ bucket, and pairs with an exact Jaccard similarity of the shingle sets of at
 least the threshold are links. Distributed union-find joins them to components,
 of which the first line, by document and position, is kept.
 
-Equal lines are one before anything else. Two bits of each minimum make a sketch
+Equal lines are one before anything else. Three bits of each minimum make a sketch
 that tells pairs that cannot be alike; lines without a plausible partner in
 their bucket go. The others are compared
 
@@ -36,8 +36,10 @@ CHARS = 5
 BANDS, ROWS = 10, 4  # a pair at 0.8 meets in some band with a probability of 0.995, at 0.85 of 0.9994, at 0.9 of 0.99997
 TOGETHER = 4  # shingles that meet the minima of a line in one row
 SPLIT_ROWS = 10_000  # lines of a bucket beyond which it is split
-#: The last two bits of 40 minima agree for 34 of them on average at a similarity of 0.8; fewer than 26 have a probability of 4e-4.
-_PLAUSIBLE = "bit_count(~((x1 ^ x2) | (y1 ^ y2))) >= 24 + 26"
+SKETCHED = 3  # last bits of each minimum, those of 20 minima in a word
+_OTHER = " + ".join(f"bit_count(({z} | shiftright({z}, 1) | shiftright({z}, 2)) & {sum(1 << SKETCHED * k for k in range(BANDS * ROWS // 2))}L)" for z in ("(x1 ^ x2)", "(y1 ^ y2)"))
+#: The last three bits of 40 minima agree for 33 of them on average at a similarity of 0.8; fewer than 24 have a probability of 2e-4.
+_PLAUSIBLE = f"{_OTHER} <= {BANDS * ROWS} - 24"
 PROBE = 64  # one line of so many tells which buckets are to be split
 
 
@@ -67,7 +69,7 @@ def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFram
 
 
 def _band_keys(lines: DataFrame) -> DataFrame:
-    """(id, keys, x, y): the bucket of each band, and the last two bits of each minimum, for lines (id, line)."""
+    """(id, keys, x, y): the bucket of each band, and the last bits of each minimum of the first and the second half, for lines (id, line)."""
     # equal lines meet before their shingles are made, which are not dealt out again; each task has one of a kind to send, however common a line is
     lines = lines.groupBy("id").agg(F.first("line").alias("line"))
     # `TOGETHER` shingles in a row, as an update of 40 minima costs more than the shingles; past the end the last one stands again
@@ -78,9 +80,10 @@ def _band_keys(lines: DataFrame) -> DataFrame:
     least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(TOGETHER)])).alias(f"m{k}") for k, m in enumerate(_masks(BANDS * ROWS))]
     # in array functions, since one generated method for all of this is too long for the JVM to compile
     signed = runs.select("id", *h).groupBy("id").agg(*least).select("id", F.array(*[f"m{k}" for k in range(BANDS * ROWS)]).alias("m"))
-    keys = f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, {', '.join(f'm[b * {ROWS} + {r}]' for r in range(ROWS))}))"
-    bit = [f"aggregate(transform(m, (v, k) -> shiftleft(cast(shiftright(v, {j}) & 1 as bigint), k)), 0L, (a, v) -> a | v)" for j in (0, 1)]
-    return signed.select("id", F.expr(keys).alias("keys"), F.expr(bit[0]).alias("x"), F.expr(bit[1]).alias("y"))
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("m")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
+    half = BANDS * ROWS // 2
+    words = [F.expr(f"aggregate(slice(m, {at}, {half}), 0L, (a, v) -> shiftleft(a, {SKETCHED}) | (v & {(1 << SKETCHED) - 1}))") for at in (1, 1 + half)]
+    return signed.select("id", keys.alias("keys"), words[0].alias("x"), words[1].alias("y"))
 
 
 def _buckets(keys: DataFrame, split_rows: int) -> DataFrame:

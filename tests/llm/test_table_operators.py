@@ -359,3 +359,17 @@ def test_equal_lines_are_one_before_their_shingles_are_made(spark):
     assert seen[0] == seen[1] and len(seen[0]) == 20
     plan = line_dedup._band_keys(often)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate explode")
+
+
+def test_sketches_tell_minima_apart_by_three_bits(spark):
+    """16 of 40 minima may differ in their last three bits, whichever of the bits it is."""
+    rng = random.Random(17)
+    rows = []
+    for others in (0, 15, 16, 17, 40):
+        for _ in range(20):
+            own = [rng.randrange(8) for _ in range(40)]
+            apart = set(rng.sample(range(40), others))
+            other = [v ^ rng.randrange(1, 8) if k in apart else v for k, v in enumerate(own)]
+            rows.append((others, *(sum(v << 3 * k for k, v in enumerate(half)) for half in (own[:20], own[20:], other[:20], other[20:]))))
+    frame = spark.createDataFrame(rows, "others int, x1 long, y1 long, x2 long, y2 long")
+    assert all(r.fit == (r.others <= 16) for r in frame.select("others", F.expr(line_dedup._PLAUSIBLE).alias("fit")).collect())
